@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, linededup, sharding
+from quarry.llm import bpe, chat, linededup, quality, sharding, topk, urlrules
 from quarry.llm.common import table
 
 
@@ -16,6 +16,11 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations"))
 
@@ -28,14 +33,48 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = urlrules.contract_rules() + urlrules.default_patterns()
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op9_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op7_quality_classifier, op8_url_filters, op9_sharding)}
 
 ORACLES: dict[str, str] = {
+    "op2_exact_top_k": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+          WHERE embedding IS NOT NULL),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, n::INT AS rank, vec_id, score FROM r WHERE n <= 10""",
+    "op8_url_filters": r"""
+        WITH u AS (
+          SELECT page_id,
+                 CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (
+          SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                                  ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+        m AS (
+          SELECT page_id, max_by(h || r.p, length(h || r.p)) AS rule, max_by(v, length(h || r.p)) AS v
+          FROM p JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id),
+        b AS (SELECT page_id, regexp_extract(host, '(?:^|\.)((?:cheap-pills|spam-farm|free-casino|online-casino|win-prize|hot-deals|adult-videos))\.', 1) AS hit FROM p)
+        SELECT p.page_id, p.host, p.path, m.rule, CASE WHEN hit <> '' THEN replace(hit, '-', ' ') END AS pattern,
+               coalesce(m.v, CASE WHEN hit <> '' THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p JOIN b USING (page_id) LEFT JOIN m USING (page_id)""".replace("\\\\.", "\\."),
     "op3_chat_formatting": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
