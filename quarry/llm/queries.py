@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, linededup, quality, sharding, topk, urlrules
+from quarry.llm import bpe, chat, decontam, linededup, quality, sharding, topk, urlrules
 from quarry.llm.common import table
 
 
@@ -47,7 +47,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op7_quality_classifier, op8_url_filters, op9_sharding)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op7_quality_classifier, op8_url_filters, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": r"""
