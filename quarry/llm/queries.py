@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontam, linededup, quality, sharding, topk, urlrules
+from quarry.llm import bpe, chat, decontam, jaccard, linededup, quality, sharding, topk, urlrules
 from quarry.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_n_gram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, top=90)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op7_quality_classifier, op8_url_filters, op9_sharding, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op6_n_gram_jaccard_join, op7_quality_classifier, op8_url_filters, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": r"""
