@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontam, jaccard, linededup, quality, sharding, topk, urlrules
+from quarry.llm import bpe, chat, decontam, jaccard, linededup, quality, secrets, sharding, topk, urlrules
 from quarry.llm.common import table
 
 
@@ -16,6 +16,10 @@ def _tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -55,7 +59,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op6_n_gram_jaccard_join, op7_quality_classifier, op8_url_filters, op9_sharding, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op2_exact_top_k, op3_chat_formatting, op4_byte_level_bpe, op5_line_dedup, op6_n_gram_jaccard_join, op7_quality_classifier, op8_url_filters, op9_sharding, op10_benchmark_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": r"""
