@@ -5,8 +5,8 @@ returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of documents.
 
 1. quality: documents whose quality score is below 0.7 go.
-2. line_dedup: lines that many documents repeat stay in one of them; a document
-   of which nothing but white space is left goes with its last line.
+2. line_dedup: lines that many documents repeat stay in one of them; every
+   document stays, if only with an empty text.
 3. near_duplicates: of the documents that five-word shingles link at a Jaccard
    similarity of 0.8 or more, the one with the smallest id stays.
 4. decontamination: documents that hold a benchmark item go.
@@ -36,8 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that they repeat; n_chars, where there is one, follows the text."""
-    out = linededup.dedup_lines(docs.withColumn("__had", F.coalesce(F.trim("text"), F.lit("")) != ""))
-    out = out.where(~F.col("__had") | (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    out = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
