@@ -1,8 +1,8 @@
 """Reading JSON out of replies that are not quite JSON, as column expressions.
 
 A candidate is parsed as it is; if that fails, the commas before a closing
-bracket are dropped and it is parsed again. Parsed means: from_json left no
-corrupt record. The second pass edits commas inside strings too; it runs only
+bracket are dropped and it is parsed again. Parsed means: it is one object and
+nothing else. The second pass edits commas inside strings too; it runs only
 where the first one failed, and so does the reference behaviour.
 """
 
@@ -12,17 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "__corrupt"
-_OPTIONS = {"allowUnquotedControlChars": "true", "columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
-
-
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+_OPTIONS = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
 
 
 def _parsed(text: Column, schema: T.StructType) -> Column:
-    made = F.from_json(text, _with_corrupt(schema), _OPTIONS)
-    return F.when(text.rlike(r"^\s*\{") & made[CORRUPT].isNull(), made)
+    # As the only item of a list: then what follows the object is an error too.
+    made = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema), _OPTIONS)
+    return F.when(text.rlike(r"^\s*\{") & (F.size(made) == 1), F.get(made, 0))
 
 
 def drop_trailing_commas(text: Column) -> Column:
