@@ -18,6 +18,7 @@ import base64
 import heapq
 import itertools
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import extended, replacing
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters of text whose words are held at once.
 RUN_CHARS = 2_000_000
 
@@ -38,89 +39,104 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes lists of words by replaying all merges in rank order over an inverted index."""
+    """Encodes lists of words by replaying all merges in rank order over an inverted index.
+
+    The work on one rank is done for all its positions at once. A merge may
+    bring up a pair of a lower rank, which then has to go first in that word;
+    tokens that can do so are known beforehand, and of theirs only the first
+    position of each word is merged before the order is looked at again.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
-        self.merged: dict[tuple[int, int], int] = {}
-
-    def merge_of(self, left: int, right: int) -> int:
-        """The id that two neighbours merge into, or -1."""
-        found = self.merged.get((left, right))
-        if found is None:
-            found = self.merged[left, right] = self.ranks.get(self.token[left] + self.token[right], -1)
-        return found
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        owner: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for n, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[n] = [whole]
-            elif word:
-                at = len(ids)
-                starts.append((n, at))
-                ids += [self.byte_id[b] for b in word]
-                after += range(at + 1, at + len(word) + 1)
-                before += range(at - 1, at + len(word) - 1)
-                after[-1] = before[at] = -1
-                owner += [n] * len(word)
-            else:
-                out[n] = []
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        #: All pairs of tokens that make a token: the pair as one number, in order, and what they make.
+        self.shift = max(self.token) + 2  # one more than any id: stands for no neighbour
+        undercuts = np.zeros(self.shift, bool)
+        pairs = []
+        for token, made in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs.append((left * self.shift + right, made))
+                    undercuts[left] |= made < left
+                    undercuts[right] |= made < right
+        self.undercuts = undercuts.tolist()
+        self.keys, self.made = (np.array(x) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.array([-1]), np.array([-1]))
+
+    def merge_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What neighbours merge into, or -1."""
+        key = left * self.shift + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word (little-endian unsigned 32-bit integers)."""
+        whole = [self.ranks.get(w, -1) for w in words]
+        split = [n for n, (w, r) in enumerate(zip(words, whole, strict=True)) if r < 0 and w]
+        out = [np.array([r] if r >= 0 else [], "<u4") for r in whole]
+        if not split:
+            return out
+        # The words to split, laid out one after the other; the last place stands for no neighbour.
+        data = np.frombuffer(b"".join([words[n] for n in split]), np.uint8)
+        lengths = np.array([len(words[n]) for n in split])
+        ends, none = np.cumsum(lengths), len(data)
+        owner = np.repeat(np.arange(len(split)), lengths)
+        ids = np.append(self.byte_ids[data], self.shift - 1)
+        after, before = np.arange(1, none + 2), np.arange(-1, none)
+        after[ends - 1] = after[none] = before[ends - lengths] = none
         # pending[p]: what the token at p and its right neighbour merge into now.
-        pending = [-1] * len(ids)
-        index: dict[int, list[int]] = {}
-        merge_of = self.merge_of
-        for p, q in enumerate(after):
-            if q >= 0 and (m := merge_of(ids[p], ids[q])) >= 0:
-                pending[p] = m
-                index.setdefault(m, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
+        pending = self.merge_of(ids, ids[after])
+        alive = np.ones(none, bool)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            made = pending[places]
+            places, made = places[made >= 0], made[made >= 0]
+            if not len(places):
+                return
+            order = np.argsort(made, kind="stable")
+            places, made = places[order], made[order]
+            cuts = np.flatnonzero(made[1:] != made[:-1]) + 1
+            for rank, part in zip(made[np.append(0, cuts)].tolist(), np.split(places, cuts) if len(cuts) else [places], strict=True):
+                if rank in index:
+                    index[rank].append(part)
+                else:
+                    index[rank] = [part]
+                    heapq.heappush(heap, rank)
+
+        file(np.arange(none))
         while heap:
             rank = heapq.heappop(heap)
-            waiting: set[int] = set()  # words in which a lower rank has come up: it goes first
-            again: list[int] = []
-            for p in sorted(index.pop(rank)):
-                if pending[p] != rank:
-                    continue
-                if owner[p] in waiting:
-                    again.append(p)
-                    continue
-                gone = after[p]
-                ids[p], pending[gone] = rank, -1
-                after[p] = right = after[gone]
-                if right >= 0:
-                    before[right] = p
-                for at, to in ((before[p], p), (p, right)):
-                    if at < 0:
-                        continue
-                    pending[at] = m = merge_of(ids[at], ids[to]) if to >= 0 else -1
-                    if m >= 0:
-                        if m not in index:
-                            index[m] = []
-                            heapq.heappush(heap, m)
-                        index[m].append(at)
-                        if m < rank:
-                            waiting.add(owner[p])
-            if again:
-                if rank not in index:
-                    index[rank] = []
+            parts = index.pop(rank)
+            places = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            places = np.unique(places[pending[places] == rank])
+            if not len(places):
+                continue
+            if len(places) > 1:
+                if self.undercuts[rank]:
+                    now = np.append(True, owner[places[1:]] != owner[places[:-1]])
+                else:  # of pairs that overlap the left one goes first
+                    now = pending[before[places]] != rank
+                if not now.all():
+                    index[rank] = [places[~now]]
                     heapq.heappush(heap, rank)
-                index[rank] += again
-        for n, p in starts:
-            row = []
-            while p >= 0:
-                row.append(ids[p])
-                p = after[p]
-            out[n] = row
+                    places = places[now]
+            gone = after[places]
+            right = after[gone]
+            ids[places], pending[gone], alive[gone] = rank, -1, False
+            after[places] = right
+            before[right] = places
+            left = before[places]
+            touched = np.concatenate([places, left[left != none]])
+            pending[touched] = self.merge_of(ids[touched], ids[after[touched]])
+            file(touched)
+        kept = np.flatnonzero(alive)
+        flat = ids[kept].astype("<u4")
+        for n, part in zip(split, np.split(flat, np.cumsum(np.bincount(owner[kept], minlength=len(split)))[:-1]), strict=True):
+            out[n] = part
         return out
 
 
@@ -147,7 +163,7 @@ class Codec:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         coded = self.replay.encode_words([w.encode() for w in new])
-        self.known.update(zip(new, (np.array(c, "<u4").tobytes() for c in coded), strict=True))
+        self.known.update(zip(new, [c.tobytes() for c in coded], strict=True))
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -178,11 +194,17 @@ class Codec:
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@lru_cache(1)
+def _codec(lines: bytes, pattern: str) -> Codec:
+    """A worker process keeps its codec, and the words that it has learned, from one task to the next."""
+    return Codec(lines, pattern)
+
+
 def _sharing(spark, path: str, pattern: str) -> Callable[[], Codec]:
-    """A function that makes the codec once in each Python worker; the file (under 1 MB) is sent once."""
+    """A function that gives the codec in a Python worker; the file (under 1 MB) is sent once."""
     with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    return lambda: Codec(sent.value, pattern)
+    return lambda: _codec(sent.value, pattern)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
