@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import durable
 from quarry.llm.components import components
+from quarry.llm.cuckoo import CuckooFilter, build
 
 RUN_CHARS = 1_000_000
 REMEMBERED = 500_000
@@ -53,6 +54,9 @@ REMEMBERED = 500_000
 HELD = 1 << 21
 #: Shingles of a group that one task settles.
 GROUP_SHINGLES = 4_000_000
+#: Filters of ids of up to this size are sent to all executors, in so many parts.
+SCREEN_BYTES = 64 << 20
+SCREEN_SHARDS = 4
 #: Pivots of a larger group in one round.
 PIVOTS = 64
 
@@ -349,9 +353,36 @@ def settle(m: Measure, sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(x) for x in range(len(sets))])
 
 
+def _screened(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """docs, less most of those that are not in chosen (rep): so that few texts move in the join that follows.
+
+    A cuckoo filter of the ids is sent to all executors, if it is small enough; else nothing is left out here.
+    """
+    ids = chosen.select("rep").where("rep is not null").distinct()
+    if ids.count() * 4 > SCREEN_BYTES:
+        return docs
+    shards = ids.select(F.pmod(F.xxhash64("rep"), F.lit(SCREEN_SHARDS)).cast("int").alias("shard"), "rep").groupBy("shard").applyInArrow(lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "cells": pa.array([build(_id_hash(t.column("rep").to_numpy())).dumps()], pa.binary())}), "shard int, cells binary")
+    sent = docs.sparkSession.sparkContext.broadcast([r["cells"] for r in shards.collect()])
+
+    def run(batches):
+        filters = [CuckooFilter.loads(c) for c in sent.value]
+        for batch in batches:
+            hashes = _id_hash(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            hit = np.zeros(batch.num_rows, bool)
+            for f in filters:
+                hit |= f.contains(hashes)
+            yield batch.filter(pa.array(hit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _id_hash(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame:
     """root, digest, rep and hashes (binary) of the representatives in chosen (rep, root, digest)."""
-    texts = docs.join(chosen, docs["doc_id"] == chosen["rep"]).select("root", "digest", "rep", "text")
+    texts = _screened(docs, chosen).join(chosen.hint("merge"), F.col("doc_id") == F.col("rep")).select("root", "digest", "rep", "text")
 
     def run(batches):
         shingler = Shingler(m)
