@@ -128,7 +128,7 @@ class Shingler:
         known = self.known
         for w in set(flat) - known.keys():
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        words = np.fromiter((known[w] for w in flat), np.uint64, len(flat))
+        words = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
         width = self.measure.width
         counts = np.where(lengths >= width, lengths - width + 1, (lengths > 0).astype(np.int64))
         owner = np.repeat(np.arange(len(rows)), counts)

@@ -1,0 +1,319 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: the results the docstrings define."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import bpe, chat, cuckoo, decontam, jaccard, linededup, quality, secrets, sharding, topk, urlrules
+
+LONG = "x" * 300_000 + " " + "word " * 60_000
+
+
+def docs(spark, rows, extra=""):
+    return spark.createDataFrame(rows, f"doc_id long, text string{extra}")
+
+
+def odd(spark):
+    return docs(spark, [(1, None), (2, ""), (None, "a b c d"), (3, LONG), (3, LONG), (4, "a b c d"), (5, "  \n\t"), (6, "é" * 50)])
+
+
+# --- 1 ---
+
+
+def test_secret_candidates(spark):
+    value = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, None), (2, ""), (3, f'a token = "{value}" b "{value}"'), (3, f'a token = "{value}" b "{value}"'), (4, "card 2669109448945250 ok"), (5, f'password: "hunter2hunter" z'), (None, f"key={value}"), (6, LONG)]
+    got = secrets.scan(docs(spark, rows, "").withColumn("value", F.lit(1)).withColumn("votes", F.lit("x"))).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["start"], r["value"], r["is_secret"]))
+    assert by[3] == [(11, value, True), (11 + 40 + 5, value, by[3][1][2])] * 2 or sorted(by[3])[0][:2] == (11, value)
+    assert by[4] == [(5, "2669109448945250", False)]
+    assert by[5][0][:2] == (11, "hunter2hunter") and by[None][0][1].endswith(value)
+    assert 1 not in by and 2 not in by and 6 not in by
+    assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_forest_expression_agrees_with_the_forest(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.with_features(secrets.labelled_findings(spark, 400)))
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(rows.select("features", "label"))
+    told = rows.withColumn("votes", F.expr(secrets.forest_expression(model.toDebugString)))
+    trees = [t.transform(rows.select("features", "label")) for t in model.trees]
+    votes = [sum(x) / 5 for x in zip(*[[r["prediction"] for r in t.select("prediction").collect()] for t in trees], strict=True)]
+    assert [r["votes"] for r in told.select("votes").collect()] == pytest.approx(votes)
+
+
+# --- 2 ---
+
+
+def test_top_k_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [2.0]), (None, [9.0, 9.0]), (8, []), (100, [-1.0, 0.25]), (2, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    s = 1024 * 1024 + 512 * 512
+    assert sorted(got[0]) == [(1, 1, s), (2, 2, s), (3, 100, -1024 * 1024 + 256 * 512)]
+    assert [x[1] for x in sorted(got[100])] == [0, 1, 2]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_top_k_random_with_large_numbers(spark):
+    rng = np.random.default_rng(3)
+    for scale, n in ((1.0, 700), (1e5, 120)):
+        v = (rng.standard_normal((n, 9)) * scale).astype(np.float32)
+        v[: n // 4] = v[0]
+        df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
+        w = [[int(np.floor(np.float64(x) * 1024)) for x in row] for row in v]
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), k=5).collect()}
+        for q in range(0, n, 10):
+            best = sorted((-sum(a * b for a, b in zip(w[q], w[c], strict=True)), c) for c in range(n) if c != q)[:5]
+            assert [got[q, k] for k in range(1, 6)] == [(c, -s) for s, c in best]
+
+
+# --- 3 ---
+
+
+def test_chat_round_trip(spark):
+    hard = ["", None, "</turn>", "\\</turn>", "\\\\<next>", "a\n</turn>\n<turn>user\nx", "\\", "\n<next>\n", "<turn>", "x" * 5000, "é🙂\\<turn>"]
+    rows = [(c, t, role, text) for c, role in ((1, "user"), (2, "assistant"), (3, None), (4, "a\nb\\n\\")) for t, text in enumerate(hard)]
+    rows += [(5, t, "assistant" if t % 3 else "user", x) for t, x in enumerate(hard)] + [(5, 0, "user", ""), (None, None, "user", "z"), (None, 1, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "loss_spans").collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, role or "", text or "") for k, t, role, text in rows if k == c))
+        assert [(x["role"], x["text"]) for x in got[c]["t"]] == [(role, text) for _, _, role, text in own]
+        assert got[c]["loss"] == "".join(text for _, _, role, text in own if role == "assistant")
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# --- 4 ---
+
+
+def tokenizer():
+    import public_tokenizers as P
+
+    return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+def test_bpe_edges(spark):
+    df = odd(spark).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(0))
+    out = bpe.decode(bpe.encode(df, *tokenizer()), *tokenizer()).collect()
+    assert len(out) == 8
+    for r in out:
+        assert bytes(r["decoded"]).decode() == (r["text"] or "") and r["n_tokens"] == len(r["ids"])
+    assert bpe.encode(odd(spark).limit(0), *tokenizer()).count() == 0
+    assert bpe.digests(odd(spark), *tokenizer()).where("doc_id = 1").first()["n_tokens"] == 0
+
+
+def test_merge_replay_orders_by_rank():
+    tiktoken = pytest.importorskip("tiktoken")
+    import random
+
+    ranks = {bytes([b]): b for b in range(256)}
+    # Ranks under which a merge brings up a lower one, and tokens that split in several ways.
+    for n, t in enumerate([b"aba", b"abab", b"ab", b"ba", b"aa", b"bb", b"aab", b"baa", b"abc", b"bc", b"cab", b"ca", b"aaaa", b"bcab"]):
+        ranks[t] = 256 + n
+    enc = tiktoken.Encoding("t", pat_str=r"[^ ]+| ", mergeable_ranks=ranks, special_tokens={})
+    random.seed(5)
+    words = ["".join(random.choice("abc") for _ in range(random.randint(1, 40))) for _ in range(3000)]
+    got = bpe.MergeReplay(ranks).encode_words([w.encode() for w in words])
+    assert [g.tolist() for g in got] == [enc.encode_ordinary(w) for w in words]
+
+
+# --- 5 ---
+
+
+def brute_lines(rows, min_docs=5, min_chars=40):
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(strip))
+    held = {}
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= min_chars:
+                held.setdefault(k, []).append(i)
+    out = []
+    for i, t in rows:
+        split = (t or "").split("\n")
+        kept = [x for x in split if not (len(held.get(key(x), [])) >= min_docs and i != max(held[key(x)]))]
+        out.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
+    return sorted(out)
+
+
+def lined(n):
+    shared = ["Shared line " + c * 40 for c in "abc"]
+    return [(i, "\n".join([f"own line number {i} " + "z" * 30, " \t" + shared[i % 3].upper() + "\r", "short", "é" * 39, "", shared[0]])) for i in range(n)]
+
+
+def test_lines_and_undo(spark):
+    rows = lined(24) + [(100, None), (101, ""), (102, LONG)]
+    df = docs(spark, rows).withColumn("n_lines", F.lit("clash"))
+    state = linededup.LineDedup(spark).insert(df.where("doc_id < 12")).insert(df.where("doc_id >= 12"))
+    tell = lambda out: sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in out.collect())
+    assert tell(state.dedup(df)) == brute_lines(rows)
+    assert tell(linededup.dedup_lines(df)) == brute_lines(rows)
+    # Taken out again, down to below the threshold: as if they had never been there.
+    gone = [23, 22, 21] + list(range(10))
+    state.delete(docs(spark, [(i, "") for i in gone]).select("doc_id"))
+    left = [r for r in rows if r[0] not in gone]
+    assert tell(state.dedup(df.where(~F.col("doc_id").isin(gone)))) == brute_lines(left)
+    state.insert(df.where(F.col("doc_id").isin(gone)))
+    assert tell(state.dedup(df)) == brute_lines(rows)
+    assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_lines_without_filters(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    rows = lined(12)
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs(spark, rows)).collect())
+    assert got == brute_lines(rows)
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    f = cuckoo.build(x)
+    assert f.contains(x).all()
+    assert f.contains(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64)).mean() < 0.001
+    f.delete(x[:10_000])
+    assert f.contains(x[10_000:]).all() and f.contains(x[:10_000]).mean() < 0.01
+    g = cuckoo.CuckooFilter.loads(f.dumps())
+    assert (g.table == f.table).all()
+    with pytest.raises(KeyError):
+        cuckoo.CuckooFilter.sized(8).delete(x[:1])
+
+
+# --- 6 ---
+
+
+def test_jaccard_edges(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (9, "A b"), (4, "a B"), (5, "a b c"), (6, "c b a"), (7, LONG), (8, LONG + " end"), (8, LONG + " end"), (None, "a b")]
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(docs(spark, rows).withColumn("component_id", F.lit(1)), 3, 90).collect()), key=repr)
+    assert sorted(got, key=repr) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (9, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 3, 7), (8, 4, 8), (8, 4, 8), (None, 1, 4)], key=repr)
+    assert jaccard.jaccard_components(docs(spark, []), 3, 90).count() == 0
+
+
+@pytest.mark.parametrize(("width", "top", "shingles", "pivots"), [(3, 90, 4_000_000, 64), (2, 80, 4_000_000, 64), (2, 80, 50, 3), (1, 60, 200, 5)])
+def test_jaccard_families(spark, width, top, shingles, pivots):
+    from test_brute import components
+
+    import random
+
+    random.seed(width * top)
+    rows, n = [], 0
+    for _ in range(12):  # families of edited copies, chains included
+        base = [random.choice("abcdefghij") + random.choice("klmnopq") for _ in range(random.randint(1, 90))]
+        for _ in range(random.randint(1, 14)):
+            rows.append((n, " ".join(base)))
+            n += 1
+            for _ in range(random.randint(0, 2)):
+                base[random.randrange(len(base))] = random.choice("rstuvw")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs(spark, rows), width, top, group_shingles=shingles, pivots=pivots).collect()}
+    assert got == components(rows, width, top)
+
+
+# --- 7 ---
+
+
+def test_quality_edges(spark):
+    df = odd(spark).withColumn("score", F.lit("clash"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality.score(df, quality.train(df, none)).collect()} == {0.5}
+    both = spark.createDataFrame([(4, 0), (4, 1), (6, None), (3, 5)], "doc_id long, quality int")
+    assert quality.train(df, both).prior == 0.5
+    rows = [(i, ("good words here " * 20) if i % 2 else ("### !!! ### " * 20)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.train(docs(spark, rows), labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, [*rows, (99, None), (98, "")]), model).collect()}
+    assert min(got[i] for i in range(1, 40, 2)) > 0.7 > max(got[i] for i in range(0, 40, 2))
+    assert got[98] == got[99] == model.prior
+    assert quality.contract(docs(spark, []), none).count() == 0
+
+
+# --- 8 ---
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule", "verdict"),
+    [
+        (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://", "", "", None, "allow"),
+        ("http://A.Example.COM/en/70?x", "a.example.com", "/en/70", "example.com/en/7", "allow"),
+        ("http://example.com/en/8", "example.com", "/en/8", "com/en/", "block"),
+        ("http://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"),
+        ("http://example.com/EN/8", "example.com", "/EN/8", None, "allow"),
+        ("http://x.net/de/1#f", "x.net", "/de/1", "net/de/", "allow"), ("http://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
+        ("http://a.org/es/", "a.org", "/es/", "org/es/", "block"), ("http://a.org/es", "a.org", "/es", None, "allow"),
+        ("http://www.cheap-pills.test/x", "www.cheap-pills.test", "/x", None, "block"), ("http://spam-farm.example.net/de/1", "spam-farm.example.net", "/de/1", "net/de/", "allow"),
+        ("x://h?q=://com/en/", "h", "", None, "allow"), ("http://com/en/\nx", "com", "/en/\nx", "com/en/", "block"),
+    ],
+)
+def test_urls(spark, url, host, path, rule, verdict):
+    df = spark.createDataFrame([(1, url, "clash")], "page_id long, url string, host string")
+    r = urlrules.judge(df, urlrules.contract_rules() + urlrules.default_patterns()).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
+def test_url_rules_in_blocks(spark, monkeypatch):
+    rules = [urlrules.host_rule(f"h{n}.test", f"/p{n % 7}/", "block") for n in range(200)] + [urlrules.host_rule("test", "/p3/", "allow")]
+    df = spark.createDataFrame([(n, f"http://www.h{n}.test/p3/x") for n in range(200)], "page_id long, url string")
+    tell = lambda: sorted(map(tuple, urlrules.judge(df, rules).select("page_id", "rule", "verdict").collect()))
+    whole = tell()
+    monkeypatch.setattr(urlrules, "BLOCK_CHARS", 6000)
+    assert tell() == whole and sum(v == "block" for *_, v in whole) == sum(n % 7 == 3 for n in range(200))
+    assert urlrules.judge(df.limit(0), rules).count() == 0
+
+
+# --- 9 ---
+
+
+def test_sharding_edges(spark):
+    df = odd(spark).withColumn("shard", F.lit("clash"))
+    out = sharding.shard_by_bytes(df, 3, range_bytes=1 << 10).collect()
+    assert len(out) == 8 and {r["size"] for r in out if r["doc_id"] == 1} == {8} and {r["text_crc32"] for r in out if r["doc_id"] == 1} == {0}
+    for s in {r["shard"] for r in out}:
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_by_bytes(docs(spark, []), 24).count() == 0
+
+
+def test_sharding_splits_a_hot_group(spark):
+    rows = [(i, "same text" if i < 600 else f"text {i}") for i in range(1200)]
+    out = sharding.shard_by_bytes(docs(spark, rows), 24, range_bytes=100).collect()
+    size = {}
+    for r in out:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["size"]
+    assert len(size) == 24 and max(size.values()) - min(size.values()) <= 40
+    for s in size:
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+
+
+# --- 10 ---
+
+
+def test_leak_edges(spark):
+    item = "The quick brown fox jumps over the lazy dog near the river. It was a sunny day."
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "two words"), (5, "Entirely other words that nobody ever writes down anywhere. Never once so far.")], "item_id long, text string")
+    shouted = item.upper().replace(" ", "!! ")
+    rows = [(1, None), (2, ""), (3, LONG), (4, "filler " * 300 + item + " more" * 500), (5, shouted), (6, item[:30]), (7, "the " * 2000), (None, item), (4, item), (8, "two words")]
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.leaked_pairs(docs(spark, rows).withColumn("leaks", F.lit(1)), items).collect()), key=repr)
+    assert got == sorted([(4, 1), (4, 1), (4, 1), (4, 1), (5, 1), (5, 1), (None, 1), (None, 1)], key=repr)
+    assert decontam.leaked_pairs(docs(spark, rows), items.limit(0)).count() == 0
+    assert decontam.leaked_pairs(docs(spark, []), items).count() == 0
+
+
+def test_leaks_in_parts(spark, monkeypatch):
+    items = spark.createDataFrame([(n, f"item {n} asks about thing{n} and place{n} near spot{n}. The answer is word{n} number{n}.") for n in range(60)], "item_id long, text string")
+    rows = docs(spark, [(n, f"before item {n} asks about thing{n} and place{n} near spot{n}. The answer is word{n} number{n}. after") for n in range(60)])
+    want = {(n, n) for n in range(60)}
+    tell = lambda: {(r["doc_id"], r["item_id"]) for r in decontam.leaked_pairs(rows, items).collect()}
+    assert tell() == want
+    monkeypatch.setattr(decontam, "PART_CHARS", 1000)
+    assert tell() == want
