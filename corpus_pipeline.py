@@ -29,8 +29,8 @@ THRESHOLD = 0.7
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier accepts; it learns from the labels of docs."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    """Documents that the compression classifier accepts; it learns from the same folds of labels as the query does."""
+    model = quality.train(docs, quality.learnable(table(spark, sf_dir, "labels")))
     return quality.score(docs, model, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
 
 

@@ -165,9 +165,14 @@ def fold(ids: Column) -> Column:
     return F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(4))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels that may be learned from: those of ids that are not held out."""
+    return labels.where(fold(F.col("doc_id").cast("bigint")) != 2)
+
+
 def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; labels are learned only from ids that are not held out."""
-    model = train(docs, labels.where(fold(F.col("doc_id").cast("bigint")) != 2))
+    model = train(docs, learnable(labels))
     out = score(docs.select("doc_id", "text"), model)
     held = F.coalesce(fold(F.col("doc_id").cast("bigint")) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -9,9 +9,11 @@ of the remaining lengths, Cauchy-Schwarz) stays below its k-th best score. The
 survivors are packed together before the next block.
 
 Queries come in blocks too. Every candidate block meets every query block once
-(a stated query set against all rows); a task keeps the best k of its queries
-over all blocks that it sees, so later blocks are cut sooner, and the last step
-takes the best k of what the tasks found.
+(a stated query set against all rows). They meet by a key made of the query
+block and a small group of candidate blocks, so no task has to read more than
+its share of either side. A task keeps the best k of its queries over all blocks
+that it sees, so later blocks are cut sooner, and the last step takes the best k
+of what the tasks found.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id; vectors are compared only with those
@@ -28,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES = 4096
-QUERIES = 2048
+CANDIDATES = 2048
+QUERIES = 8192
+GROUP = 4  # candidate blocks that share a join key
 STEP = 8
 EXACT = 1 << 53
 LONG = (1 << 63) - 1
@@ -49,7 +52,7 @@ def _floor(x):
 
 
 def _pack(rows: DataFrame, blocks: int, label: str) -> DataFrame:
-    """One row for each block: dims, block, ids and the vertical matrix as float64 bytes."""
+    """One row for each block: dims, block, ids, and the vertical matrix in the least wide kind of number that holds it."""
 
     def one(t: pa.Table) -> pa.Table:
         dims = t.column("dims")[0].as_py()
@@ -60,10 +63,13 @@ def _pack(rows: DataFrame, blocks: int, label: str) -> DataFrame:
         ids, v = ids[order], v[order]
         last = np.append(ids[1:] != ids[:-1], True)  # one row for each id
         ids, v = ids[last], v[last]
-        return pa.table({"dims": pa.array([dims], pa.int32()), label: pa.array([t.column("block")[0].as_py()], pa.int32()), f"{label}_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), f"{label}_data": pa.array([np.ascontiguousarray(v.T).tobytes()], pa.binary())})
+        most = np.abs(v).max(initial=0)
+        kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
+        data = np.ascontiguousarray(v.T.astype(kind)).tobytes()
+        return pa.table({"dims": pa.array([dims], pa.int32()), label: pa.array([t.column("block")[0].as_py()], pa.int32()), f"{label}_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), f"{label}_kind": pa.array([kind]), f"{label}_data": pa.array([data], pa.binary())})
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("dims", "block").applyInArrow(one, f"dims int, {label} int, {label}_ids binary, {label}_data binary")
+    return dealt.groupBy("dims", "block").applyInArrow(one, f"dims int, {label} int, {label}_ids binary, {label}_kind string, {label}_data binary")
 
 
 class _Best:
@@ -125,15 +131,18 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ids
     sizes = rows.groupBy().count().first()[0], asked.groupBy().count().first()[0]
     blocks, groups = (max(1, -(-n // m)) for n, m in zip(sizes, (CANDIDATES, QUERIES), strict=True))
     candidates, wanted = _pack(rows, blocks, "c"), _pack(asked, groups, "q")
-    dealt = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = dealt.join(wanted, ["dims", "q"]).select("dims", "q_ids", "q_data", "c_ids", "c_data")
+    dealt = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("g", F.floor(F.col("c") / GROUP).cast("int"))
+    wanted = wanted.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))))
+    pairs = dealt.join(wanted, ["dims", "q", "g"]).select("dims", "q_ids", "q_kind", "q_data", "c_ids", "c_kind", "c_data")
 
     def run(batches):
         best: dict[tuple[int, int], _Best] = {}
         for batch in batches:
-            for dims, q_ids, q_data, c_ids, c_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                dims, q_ids, q_kind, q_data, c_ids, c_kind, c_data = (c[row].as_py() for c in batch.columns)
                 qi, ci = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
-                q, c = np.frombuffer(q_data).reshape(dims, len(qi)).T, np.frombuffer(c_data).reshape(dims, len(ci))
+                q = np.frombuffer(q_data, q_kind).astype(float).reshape(dims, len(qi)).T
+                c = np.frombuffer(c_data, c_kind).astype(float).reshape(dims, len(ci))
                 small = dims * (np.abs(q).max(initial=0) + 1) * (np.abs(c).max(initial=0) + 1) < EXACT and dims * (np.abs(c).max(initial=0) + 1) ** 2 < EXACT
                 squares = np.einsum("ij,ij->j", c, c)
                 for n, qid in enumerate(qi.tolist()):
