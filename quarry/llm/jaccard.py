@@ -10,8 +10,11 @@ sets link if it is at most THETA = 1 - threshold.
    space) holds all sets with just this part. Linked sets share a region.
    Sizes are dealt into classes, each with its own k; a set near a border is
    replicated into the next class (the window that the size bound leaves open).
-   Regions that overlap are joined to groups; groups are mostly families of
-   near copies, and no link crosses from one to another.
+   Shingles that very many documents hold are counted beforehand and left out
+   of the parts, where enough others remain. Regions that overlap are joined to
+   groups; groups are mostly families of near copies, and no link crosses from
+   one to another. Groups that are not small are parted again, by the shingles
+   that are rare in them.
 3. Within a group pivots are sets. A pivot's distance to each set of the group
    is taken; sets within THETA link to it. A set is settled once it is linked
    to some pivot and every pivot within 2 THETA of it is in its component: by
@@ -28,7 +31,8 @@ the whole corpus.
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; a text with fewer words than a shingle has one shingle, its whole
 sequence; repeated rows and copies share a component; a null id is ignored when
-the smallest id of a component is sought; empty tables give empty results;
+the smallest id of a component is sought, and a set that only rows without an
+id hold links with nothing; empty tables give empty results;
 columns other than doc_id and text are not read.
 """
 
@@ -52,6 +56,10 @@ RUN_CHARS = 1_000_000
 REMEMBERED = 500_000
 #: Rows of parts that a task sorts at once, to send each of them once.
 HELD = 1 << 21
+#: How rarely a set may have more empty parts than are spare.
+DEVIATIONS = 3
+#: Bits of the table in which shingles are counted, by the number of documents; a bucket is heavy if so many deviations over the mean.
+COUNT_BITS, HEAVY = (16, 22), 8
 #: Shingles of a group that one task settles.
 GROUP_SHINGLES = 4_000_000
 #: Filters of ids of up to this size are sent to all executors, in so many parts.
@@ -94,15 +102,15 @@ def _classes(m: Measure, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         differ = 2 * (following - 1) * (m.bottom - m.top) // (m.bottom + m.top)
         # Parts of two linked sets that differ: at most `differ`. More of them are equal than are
         # likely to be empty, so that an equal one with shingles is almost always among them.
-        # Of those tried, the first that is five deviations off, else the one that is farthest off.
+        # Of those tried, the first that is so many deviations off, else the one that is farthest off.
         tried = []
         for slack in range(2, max(6, differ + 2)):
             k = differ + slack
             empty = k * np.exp(-(low * m.top / m.bottom) / k)
             tried.append(((slack - empty) / np.sqrt(empty + 0.1), slack))
-            if tried[-1][0] >= 5:
+            if tried[-1][0] >= DEVIATIONS:
                 break
-        slack = max(tried)[1] if tried[-1][0] < 5 else tried[-1][1]
+        slack = max(tried)[1] if tried[-1][0] < DEVIATIONS else tried[-1][1]
         k = differ + slack
         parts.append(k if differ else 0)
         spare.append(slack)
@@ -154,8 +162,18 @@ def digests(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def part_keys(m: Measure, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, region) of each region that each set lies in."""
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def part_keys(m: Measure, hashes: np.ndarray, offsets: np.ndarray, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, region) of each region that each set lies in.
+
+    heavy: for each bucket of shingles whether it is frequent. Parts are first made of the
+    other shingles alone (linked sets differ in no more of them), so that texts which have
+    just a passage in common share no region. A set with too many empty parts then also
+    gets the regions of all its shingles; so does each set that shares only empty parts with it.
+    """
     sizes = np.diff(offsets)
     if not len(hashes):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -168,25 +186,36 @@ def part_keys(m: Measure, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.n
         if step:
             emits &= sizes * m.bottom // m.top >= least[cls]
         rows = np.flatnonzero(emits)
-        k = parts[cls[rows]]
-        first = np.cumsum(k) - k
-        n = sizes[rows]
-        at = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        h = hashes[at]
-        cell = np.repeat(first, n) + (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.repeat(k, n).astype(np.uint64)).astype(np.int64)
-        cells = int(k.sum())
-        held = np.zeros(cells, np.uint64)
-        np.add.at(held, cell, mix(h + np.uint64(0x632BE59BD9B4E019)))
-        count = np.bincount(cell, minlength=cells)
-        owner = np.repeat(np.arange(len(rows)), k)
-        number = np.arange(cells) - first[owner]
-        region = mix(mix(held + np.uint64(0x9E3779B97F4A7C15) * (count + 1).astype(np.uint64)) + (cls[rows][owner] * (1 << 40) + number).astype(np.uint64))
-        empty = np.bincount(owner, count == 0, len(rows))
+        if heavy is not None:
+            rare = ~heavy[bucket_of(hashes, (len(heavy) - 1).bit_length())]
+            ends = np.concatenate([[0], np.cumsum(rare)])[offsets]
+            region, owner, empty, count = _regions(hashes[rare], ends, rows, cls[rows], parts)
+            found.append((rows[owner[count > 0]], region[count > 0]))
+            rows = rows[empty >= spare[cls[rows]]]
+        region, owner, empty, count = _regions(hashes, offsets, rows, cls[rows] + 512, parts)
         kept = (count > 0) | (empty >= spare[cls[rows]])[owner]
         found.append((rows[owner[kept]], region[kept]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _regions(hashes: np.ndarray, offsets: np.ndarray, rows: np.ndarray, space: np.ndarray, parts: np.ndarray):
+    """Of the sets in rows: each part's region, its owner (a place in rows), each owner's empty parts, each part's shingles."""
+    k = parts[space % 512]
+    first = np.cumsum(k) - k
+    n = np.diff(offsets)[rows]
+    at = np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    h = hashes[at]
+    cell = np.repeat(first, n) + (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.repeat(k, n).astype(np.uint64)).astype(np.int64)
+    cells = int(k.sum())
+    held = np.zeros(cells, np.uint64)
+    np.add.at(held, cell, mix(h + np.uint64(0x632BE59BD9B4E019)))
+    count = np.bincount(cell, minlength=cells)
+    owner = np.repeat(np.arange(len(rows)), k)
+    number = np.arange(cells) - first[owner]
+    region = mix(mix(held + np.uint64(0x9E3779B97F4A7C15) * (count + 1).astype(np.uint64)) + (space[owner] * (1 << 40) + number).astype(np.uint64))
+    return region, owner, np.bincount(owner, count == 0, len(rows)), count
+
+
 def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(texts):
@@ -198,25 +227,45 @@ def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def set_table(docs: DataFrame, m: Measure) -> DataFrame:
-    """doc_id, n_shingles and digest (binary, null for empty sets) of each document."""
+def set_table(docs: DataFrame, m: Measure, bits: int) -> DataFrame:
+    """doc_id, n_shingles and digest (binary, null for empty sets) of each document; and rows with a bucket, in which n_shingles counts the task's shingles of that bucket."""
+
+    def rows(doc_id, n, digest, bucket):
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), digest, bucket], ["doc_id", "n_shingles", "digest", "bucket"])
 
     def run(batches):
-        shingler = Shingler(m)
+        shingler, counts = Shingler(m), np.zeros(1 << bits, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _runs(texts):
                 hashes, offsets = shingler.sets(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(digests(hashes, offsets), pa.binary())], ["doc_id", "n_shingles", "digest"])
+                counts += np.bincount(bucket_of(hashes, bits), minlength=1 << bits)
+                yield rows(batch.column(0).slice(a, b - a), np.diff(offsets), pa.array(digests(hashes, offsets), pa.binary()), pa.nulls(b - a, pa.int32()))
+        full = np.flatnonzero(counts)
+        for at in range(0, len(full), 1 << 16):
+            part = full[at : at + (1 << 16)]
+            yield rows(pa.nulls(len(part), pa.int64()), counts[part], pa.nulls(len(part), pa.binary()), pa.array(part, pa.int32()))
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bucket int")
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary")
+
+def heavy_buckets(table: DataFrame, bits: int) -> np.ndarray:
+    """The mask of frequent buckets, from counts over all documents (4 million buckets at most)."""
+    counts = table.where("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    mask = np.zeros(1 << bits, bool)
+    if total:
+        # Counts of rare shingles spread like a Poisson variable; frequent ones stand out from them.
+        mean = total / (1 << bits)
+        mask[[r[0] for r in counts.where(F.col("n") > mean + HEAVY * (mean**0.5 + 1)).select("bucket").collect()]] = True
+    return mask
 
 
 def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def region_edges(docs: DataFrame, m: Measure) -> DataFrame:
+def region_edges(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
     """a, b: sets (64 bits of their digests) that share a region, each with the first of its region; they may not link.
 
     A task sends each region once, with the first set that it saw there, and the
@@ -224,44 +273,55 @@ def region_edges(docs: DataFrame, m: Measure) -> DataFrame:
     moves as a row from each task.
     """
 
-    def send(region, node, other):
-        return pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(node), pa.array(other)], ["region", "a", "b"])
+    sent_mask = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy).tobytes())
+    buckets = len(heavy)
 
     def run(batches):
-        shingler = Shingler(m)
+        shingler, mask = Shingler(m), np.unpackbits(np.frombuffer(sent_mask.value, np.uint8))[:buckets].astype(bool)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _runs(texts):
                 hashes, offsets = shingler.sets(texts[a:b])
-                rows, region = part_keys(m, hashes, offsets)
+                rows, region = part_keys(m, hashes, offsets, mask)
                 nodes = np.array([_node(d) if d else 0 for d in digests(hashes, offsets)], np.int64)
                 held.append((region, nodes[rows]))
                 size += len(rows)
                 if size >= HELD:
-                    yield from flush(held)
+                    yield from _first_of_regions(held)
                     held, size = [], 0
-        yield from flush(held)
-
-    def flush(held):
-        if not held:
-            return
-        region, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        order = np.lexsort((node, region))
-        region, node = region[order], node[order]
-        head = np.ones(len(region), bool)
-        head[1:] = region[1:] != region[:-1]
-        first = node[np.maximum.accumulate(np.where(head, np.arange(len(region)), 0))] if len(region) else node
-        for at in range(0, int(head.sum()), 1 << 16):
-            r, n = region[head][at : at + (1 << 16)], node[head][at : at + (1 << 16)]
-            yield send(r, n, n)
-        edge = np.unique(np.stack([first, node], 1)[first != node], axis=0)
-        if len(edge):
-            yield send(mix(edge[:, 0].view(np.uint64) ^ mix(edge[:, 1].copy().view(np.uint64))), edge[:, 0].copy(), edge[:, 1].copy())
-
-    def meet(batches):
-        """Rows come sorted by region: each set of a region gets an edge to the first one."""
+        yield from _first_of_regions(held)
+
+    return _meet(docs.mapInArrow(run, "region bigint, a bigint, b bigint"))
+
+
+def _first_of_regions(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Of (region, set) rows that a task holds: each region once with its first set, and edges from that set to the others."""
+
+    def send(region, node, other):
+        return pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(node), pa.array(other)], ["region", "a", "b"])
+
+    if not held:
+        return
+    region, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.lexsort((node, region))
+    region, node = region[order], node[order]
+    head = np.ones(len(region), bool)
+    head[1:] = region[1:] != region[:-1]
+    first = node[np.maximum.accumulate(np.where(head, np.arange(len(region)), 0))] if len(region) else node
+    for at in range(0, int(head.sum()), 1 << 16):
+        r, n = region[head][at : at + (1 << 16)], node[head][at : at + (1 << 16)]
+        yield send(r, n, n)
+    edge = np.unique(np.stack([first, node], 1)[first != node], axis=0)
+    if len(edge):
+        yield send(mix(edge[:, 0].copy().view(np.uint64) ^ mix(edge[:, 1].copy().view(np.uint64))), edge[:, 0].copy(), edge[:, 1].copy())
+
+
+def _meet(rows: DataFrame) -> DataFrame:
+    """a, b: the edges that rows (region, a, b) hold, and one from each region's first set to each other set of it."""
+
+    def run(batches):
         last, first = None, None
         for batch in batches:
             region, a, b = (batch.column(i).to_numpy() for i in range(3))
@@ -278,8 +338,103 @@ def region_edges(docs: DataFrame, m: Measure) -> DataFrame:
             if len(edge):
                 yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0].copy()), pa.array(edge[:, 1].copy())], ["a", "b"])
 
-    sent = docs.mapInArrow(run, "region bigint, a bigint, b bigint")
-    return sent.repartition("region").sortWithinPartitions("region").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def refined_edges(texts: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
+    """Edges within the groups of texts (root, node, text): sets that share one of the shingles that are rarest in their group.
+
+    Linked sets share one of the first n - ceil(t n) + 1 shingles of each, in any order that holds for
+    both; here frequent shingles (see heavy) come last and the others by how many sets of the group
+    hold them. Sets whose first shingles reach into the frequent ones keep together.
+    """
+    sent_mask = texts.sparkSession.sparkContext.broadcast(np.packbits(heavy).tobytes())
+    buckets = len(heavy)
+    names = ["key", "node", "root", "sizes"]
+
+    def shingles(batches):
+        shingler, mask = Shingler(m), np.unpackbits(np.frombuffer(sent_mask.value, np.uint8))[:buckets].astype(bool)
+        for batch in batches:
+            rows = batch.column(2).to_pylist()
+            for a, b in _runs(rows):
+                hashes, offsets = shingler.sets(rows[a:b])
+                root, node = (batch.column(i).to_numpy()[a:b] for i in (0, 1))
+                rare = ~mask[bucket_of(hashes, (buckets - 1).bit_length())]
+                owner = np.repeat(np.arange(b - a), np.diff(offsets))[rare]
+                key = mix(hashes[rare] ^ mix(root.view(np.uint64))[owner]).view(np.int64)
+                none = np.zeros(len(key), np.int64)
+                n = np.diff(offsets)
+                sizes = (n << 32) | np.bincount(owner, minlength=b - a)
+                for x, y, z, w in ((key, node[owner], none, none), (mix(node.view(np.uint64)).view(np.int64), node, root, sizes)):
+                    for at in range(0, len(x), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (x, y, z, w)], names)
+
+    def shared(batches):
+        """Rows sorted by key: those that stand alone go; df beside the others, -1 beside the rows with the sizes."""
+        held: list[np.ndarray] = []
+
+        def out(c):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["node", "df", "key", "root", "sizes"])
+
+        def told(c):
+            key, node, root, sizes = c
+            info = sizes > 0
+            cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            df = np.repeat(np.diff(np.append(cuts, len(key))), np.diff(np.append(cuts, len(key))))
+            kept = info | (df > 1)
+            return out([node[kept], np.where(info, -1, df)[kept], key[kept], root[kept], sizes[kept]])
+
+        for batch in batches:
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            held = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)] if held else now
+            if not len(held[0]):
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            if cut:
+                yield told([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held and len(held[0]):
+            yield told(held)
+
+    def first(batches):
+        """Rows sorted by set, df and key, the one with the sizes ahead: the regions of each set's rarest shingles."""
+        rows: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def regions(c):
+            node, df, key, root, sizes = c
+            cuts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            count = np.diff(np.append(cuts, len(node))) - 1
+            n, rare = sizes[cuts] >> 32, sizes[cuts] & 0xFFFFFFFF
+            prefix = n + (-n * m.top) // m.bottom + 1  # n - ceil(t n) + 1
+            wanted = prefix - (rare - count)
+            place = np.arange(len(node)) - np.repeat(cuts, count + 1)
+            kept = (place > 0) & (place <= np.repeat(wanted, count + 1))
+            deep = prefix > rare
+            together = mix(root[cuts][deep].view(np.uint64) ^ np.uint64(0xC2B2AE3D27D4EB4F))
+            return np.concatenate([key[kept].view(np.uint64), together]), np.concatenate([node[kept], node[cuts][deep]])
+
+        for batch in batches:
+            now = [batch.column(i).to_numpy() for i in range(5)]
+            rows = [np.concatenate([x, y]) for x, y in zip(rows, now, strict=True)] if rows else now
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                found.append(regions([c[:cut] for c in rows]))
+                held += len(found[-1][0])
+                rows = [c[cut:] for c in rows]
+                if held >= HELD:
+                    yield from _first_of_regions(found)
+                    found, held = [], 0
+        if rows and len(rows[0]):
+            found.append(regions(rows))
+        yield from _first_of_regions(found)
+
+    sent = texts.mapInArrow(shingles, "key bigint, node bigint, root bigint, sizes bigint")
+    counted = sent.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "node bigint, df bigint, key bigint, root bigint, sizes bigint")
+    return _meet(counted.repartition("node").sortWithinPartitions("node", "df", "key").mapInArrow(first, "region bigint, a bigint, b bigint"))
 
 
 class Group:
@@ -353,6 +508,11 @@ def settle(m: Measure, sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(x) for x in range(len(sets))])
 
 
+def _texts(docs: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of chosen, and the text of each of its representatives; the same join at every size."""
+    return _screened(docs, chosen).join(chosen.hint("merge"), F.col("doc_id") == F.col("rep")).select(*columns, "text")
+
+
 def _screened(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """docs, less most of those that are not in chosen (rep): so that few texts move in the join that follows.
 
@@ -382,7 +542,7 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
 
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame:
     """root, digest, rep and hashes (binary) of the representatives in chosen (rep, root, digest)."""
-    texts = _screened(docs, chosen).join(chosen.hint("merge"), F.col("doc_id") == F.col("rep")).select("root", "digest", "rep", "text")
+    texts = _texts(docs, chosen, ["root", "digest", "rep"])
 
     def run(batches):
         shingler = Shingler(m)
@@ -475,14 +635,23 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
     """doc_id, n_shingles and component_id of each document; sets link if bottom * common >= top * union."""
     m = Measure(width, top, bottom)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = durable(set_table(docs, m), "jaccard-sets")
+    low, high = COUNT_BITS
+    bits = max(low, min(high, (docs.count() // 4).bit_length()))
+    both = durable(set_table(docs, m, bits), "jaccard-sets")
+    table = both.where("bucket is null").drop("bucket")
     points = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    groups = components(region_edges(docs, m), "jaccard-groups")
-    member = durable(_with_node(points).join(groups, "node").select("root", "digest", "rep", "n"), "jaccard-members")
-    sizes = member.groupBy("root").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    heavy = heavy_buckets(both, bits)
+    groups = components(region_edges(docs, m, heavy), "jaccard-groups")
+    member = durable(_with_node(points).join(groups, "node"), "jaccard-members")
+    sized = lambda rows: rows.groupBy("root").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    # Groups that are not small are parted first by the shingles that are rare in them.
+    big = durable(member.join(sized(member).where(F.col("shingles") > group_shingles // 16), "root", "left_semi"), "jaccard-big")
+    finer = components(refined_edges(_texts(docs, big, ["root", "node"]), m, heavy), "jaccard-finer")
+    parted = big.drop("root").join(finer, "node").select(member.columns)
+    member = durable(member.join(big.select("root").distinct(), "root", "left_anti").unionByName(parted), "jaccard-parted")
+    sizes = durable(sized(member), "jaccard-sizes")
     large = F.col("shingles") > group_shingles
-    small_sets = _candidate_sets(docs, member.join(sizes.where(~large), "root", "left_semi"), m)
-    labels = _settle_small(small_sets, m)
+    labels = _settle_small(_candidate_sets(docs, member.join(sizes.where(~large), "root", "left_semi"), m), m)
     if not sizes.where(large).isEmpty():
         labels = labels.unionByName(_settle_large(_candidate_sets(docs, member.join(sizes.where(large), "root", "left_semi"), m), m, pivots))
     label = points.join(labels, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
