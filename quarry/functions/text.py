@@ -205,3 +205,28 @@ def range_ends(c: Column | str) -> tuple[Column, Column]:
 def is_bad_range(c: Column | str) -> Column:
     start, end = range_ends(c)
     return _col(c).isNotNull() & (start.isNull() | end.isNull() | (end < start))
+
+
+def response_status(host: Column, path: Column, routes: list[str], busy: Column, body_status: Column) -> Column:
+    """What a request is answered with, checks in order: foreign host 403, unknown route 404, bad body, busy 429."""
+    return F.when(~is_local_host(host), 403).when(~F.coalesce(path.isin(routes), F.lit(False)), 404).when(body_status != 200, body_status).when(busy, 429).otherwise(200)
+
+
+def phase_state(position: Column, active: Column) -> Column:
+    """Where a phase stands: done before the active one, now at it, else to come."""
+    return F.when(position < active, "done").when(position == active, "now").otherwise("")
+
+
+def is_raw_fallback(raw: Column, team: Column) -> Column:
+    """A reply that could not be read: its text is there, an owner is not."""
+    return (F.coalesce(raw, F.lit("")) != "") & (F.coalesce(team, F.lit("")) == "")
+
+
+def health_text(ready: Column, missing: Column) -> Column:
+    """The status line: ready, or which settings are missing."""
+    return F.when(ready, "ready").otherwise(F.concat(F.lit("missing: "), F.coalesce(missing, F.lit("?"))))
+
+
+def pick_binary(named: Column, on_path: Column, found: Column) -> Column:
+    """The named program if there is one, else the one on the path, else the last of those found, as text sorts."""
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(on_path, F.lit("")), F.array_max(found))

@@ -131,3 +131,23 @@ def leaderboard(rows: DataFrame, by: str, value: str) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("total").desc(), by)
     place = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col("total").desc()))
     return sums.withColumns({"place": place, "behind": F.lag("total").over(w) - F.col("total")})
+
+
+def visible_agents(rows: DataFrame, view_by: str, active: Column) -> DataFrame:
+    """By agent the inactive ones are hidden; by team they count."""
+    return rows.where(active) if view_by == "agent" else rows
+
+
+def without_states(rows: DataFrame, state: str, hidden: list[str]) -> DataFrame:
+    """The rows in none of the hidden states; a row without a state stays."""
+    return rows.where(~F.coalesce(F.col(state).isin(hidden), F.lit(False)))
+
+
+def days_valid(days: Column) -> Column:
+    """Any choice of days will do, all of them too, as long as there is one."""
+    return F.coalesce(F.size(days), F.lit(0)) >= 1
+
+
+def settings_agree(stored: DataFrame, shown: DataFrame, key: str, value: str) -> DataFrame:
+    """Settings that a screen shows otherwise than they are stored."""
+    return reconcile(stored, shown, key, value)

@@ -152,3 +152,27 @@ def zone_window(spark, d):
     e, as_of = table(spark, d, "events"), F.expr("DATE '2024-01-20'")
     own = lambda zone: e.where(A.preset("last 7 days", F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)), as_of)).agg(F.lit(zone).alias("zone"), F.count(F.lit(1)).alias("n"))
     return own("Asia/Tokyo").unionByName(own("UTC"))
+
+
+@query("SELECT 'agent' AS view_by, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'team', count(*) FROM customer")
+def view_by(spark, d):
+    own = lambda how: A.visible_agents(table(spark, d, "customer"), how, F.col("c_acctbal") >= 0).agg(F.lit(how).alias("view_by"), F.count(F.lit(1)).alias("n"))
+    return own("agent").unionByName(own("team"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1")
+def hidden_states(spark, d):
+    return A.without_states(table(spark, d, "events"), "event_type", ["error", "view"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, count(DISTINCT dayofweek(ts))::BIGINT AS days, true AS valid FROM events GROUP BY 1")
+def days_of_week(spark, d):
+    out = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.dayofweek("ts")).alias("d"))
+    return out.select("user_id", F.size("d").cast("bigint").alias("days"), A.days_valid(F.col("d")).alias("valid"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS left_value, CASE WHEN n_nationkey % 4 = 1 THEN 'x' END AS right_value FROM nation WHERE n_nationkey % 4 < 2")
+def settings_agree(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    shown = n.where("k % 4 > 0").withColumn("v", F.when(F.col("k") % 4 == 1, "x").otherwise(F.col("v")))
+    return A.settings_agree(n, shown, "k", "v")

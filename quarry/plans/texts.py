@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import jsonx
 from quarry.functions import text as X
+from quarry.operators import writeplan
 from quarry.plans.registry import query, table
 from quarry.sources import readers, sinks
 
@@ -235,3 +236,36 @@ def changed_since(spark, d):
 @query("SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_summaries(spark, d):
     return table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 403 WHEN page_id % 5 = 1 THEN 404 WHEN page_id % 5 = 2 THEN 400 WHEN page_id % 5 = 3 THEN 429 ELSE 200 END AS status FROM pages""")
+def response_status(spark, d):
+    n = F.col("page_id") % 5
+    made = X.response_status(F.when(n == 0, "evil.test").otherwise("localhost:80"), F.when(n == 1, "/x").otherwise("/triage"), ["/triage", "/health"], n == 3, F.when(n == 2, 400).otherwise(200))
+    return table(spark, d, "pages").select("page_id", made.alias("status"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 < user_id % 7 THEN 'done' WHEN event_id % 7 = user_id % 7 THEN 'now' ELSE '' END AS state, event_id % 2 = 0 AND event_id % 3 = 0 AS fallback FROM events")
+def phase_progress(spark, d):
+    raw, team = F.when(F.col("event_id") % 2 == 0, "text"), F.when(F.col("event_id") % 3 != 0, "Amber")
+    return table(spark, d, "events").select("event_id", X.phase_state(F.col("event_id") % 7, F.col("user_id") % 7).alias("state"), X.is_raw_fallback(raw, team).alias("fallback"))
+
+
+@query("""SELECT string_agg(n, ', ' ORDER BY n) AS missing, 'missing: ' || string_agg(n, ', ' ORDER BY n) AS said FROM (VALUES ('AFRICA_X'), ('K_NONE')) t(n)""")
+def missing_settings(spark, d):
+    have = table(spark, d, "nation").select(F.col("n_name").alias("key"), F.lit("v").alias("val"))
+    out = writeplan.missing_settings(have, ["AFRICA_X", "NATION_0", "K_NONE"])
+    return out.withColumn("said", X.health_text(F.col("missing") == "", F.col("missing")))
+
+
+@query("SELECT n_regionkey, CASE WHEN n_regionkey = 0 THEN 'named' ELSE max(n_name) END AS binary FROM nation GROUP BY 1")
+def binary_pick(spark, d):
+    found = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("f"))
+    return found.select("n_regionkey", X.pick_binary(F.when(F.col("n_regionkey") == 0, "named"), F.lit(""), F.col("f")).alias("binary"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE concat_ws(' — ', event_type, CASE WHEN event_id % 3 = 1 THEN 'd' END) END AS step FROM events")
+def object_steps(spark, d):
+    n = F.col("event_id") % 3
+    step = F.struct(F.when(n != 0, F.col("event_type")).alias("action"), F.when(n == 1, "d").alias("data"), F.lit(None).cast("string").alias("result"))
+    return table(spark, d, "events").select("event_id", X.step_text(step).alias("step"))
