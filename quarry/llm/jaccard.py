@@ -64,7 +64,7 @@ COUNT_BITS, HEAVY = (16, 22), 8
 GROUP_SHINGLES = 4_000_000
 #: Filters of ids of up to this size are sent to all executors, in so many parts.
 SCREEN_BYTES = 64 << 20
-SCREEN_SHARDS = 4
+SCREEN_SHARDS = 16
 #: Pivots of a larger group in one round.
 PIVOTS = 64
 
@@ -654,8 +654,9 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
     labels = _settle_small(_candidate_sets(docs, member.join(sizes.where(~large), "root", "left_semi"), m), m)
     if not sizes.where(large).isEmpty():
         labels = labels.unionByName(_settle_large(_candidate_sets(docs, member.join(sizes.where(large), "root", "left_semi"), m), m, pivots))
-    label = points.join(labels, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = table.join(label, "digest", "left")
+    # Written first, so that the join below has a plain exchange on either side, which Spark can split where a set has very many copies.
+    label = durable(points.join(labels, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-labelled")
+    out = table.join(label.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

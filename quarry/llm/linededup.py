@@ -118,7 +118,7 @@ class LineDedup:
             self.references = durable(count_references(new), "line-references")
             return self._build_filters()
         touched = new.select("key").distinct()
-        self.postings = durable(self.postings.unionByName(new), "line-postings")
+        self.postings = self.postings.unionByName(new)  # written files, side by side; none is written again
         return self._recount(touched)
 
     def delete(self, ids: DataFrame) -> LineDedup:
