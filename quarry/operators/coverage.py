@@ -11,8 +11,9 @@ from quarry.functions.text import tokens
 ALIGNED, PARTIAL = 0.5, 0.2
 
 
-def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(key, F.explode(tokens(text)).alias("token"))
+def token_rows(df: DataFrame, key: str, text: str, size: str) -> DataFrame:
+    """key, token, and how many distinct words the text has in all."""
+    return df.select(key, tokens(text).alias("__t")).select(key, F.size("__t").alias(size), F.explode("__t").alias("token"))
 
 
 def shortlist(tickets: DataFrame, tests: DataFrame, least: int = 1) -> DataFrame:
@@ -20,11 +21,9 @@ def shortlist(tickets: DataFrame, tests: DataFrame, least: int = 1) -> DataFrame
 
     An equi-join on words: only pairs that share one are ever formed.
     """
-    left, right = token_rows(tickets, "ticket_id", "description"), token_rows(tests, "test_id", "summary")
-    size = lambda df, key, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    shared = left.join(right, "token").groupBy("ticket_id", "test_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    out = shared.join(size(left, "ticket_id", "a"), "ticket_id").join(size(right, "test_id", "b"), "test_id")
-    return out.select("ticket_id", "test_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("similarity"))
+    left, right = token_rows(tickets, "ticket_id", "description", "a"), token_rows(tests, "test_id", "summary", "b")
+    shared = left.join(right, "token").groupBy("ticket_id", "test_id", "a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    return shared.select("ticket_id", "test_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("similarity"))
 
 
 def alignment(similarity: Column | str) -> Column:
