@@ -251,6 +251,12 @@ def scenario_matrix(spark, d):
     return drafts.scenario_matrix(table(spark, d, "region").select("r_name")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("scenario_no").cast("bigint")).alias("check_sum"))
 
 
+@query("""SELECT r_name AS object, p AS priority, l AS labels, n, 19 * n AS steps FROM region CROSS JOIN (VALUES ('P2', 'sanity', 7), ('P2', 'regression', 5), ('P3', 'regression', 11)) t(p, l, n)""")
+def test_templates(spark, d):
+    cells = drafts.scenario_matrix(table(spark, d, "region").select(F.lit("main").alias("domain"), F.col("r_name").alias("object")))
+    return drafts.test_template(cells).groupBy("object", "priority", "labels").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.size("steps")).cast("int").alias("steps"))
+
+
 _MESSAGES = "m AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS steps, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'assistant') AS expected, min(text) FILTER (role = 'system') AS pre FROM conversations GROUP BY 1)"
 
 
