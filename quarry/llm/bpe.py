@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import extended, replacing
+from quarry.llm.common import extended, replacing, tidy
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers; beyond that it keeps those of the texts at hand.
+REMEMBERED = 250_000
 #: Characters of text whose words are held at once.
 RUN_CHARS = 2_000_000
 
@@ -160,7 +160,7 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {w: self.known[w] for w in words if w in self.known}
         new = [w for w in words if w not in self.known]
         coded = self.replay.encode_words([w.encode() for w in new])
         self.known.update(zip(new, [c.tobytes() for c in coded], strict=True))
@@ -182,8 +182,6 @@ class Codec:
                 yield b"".join(parts)
                 continue
             cut = [self.cut.findall(t) for t in run]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
             self.learn(set().union(*cut))
             known = self.known
             for words in cut:
@@ -213,6 +211,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     rest = replacing(df, ["ids", "n_tokens"])
     schema = extended(rest, ids="array<int>", n_tokens="bigint")
 
+    @tidy
     def run(batches):
         coder = codec()
         for batch in batches:
@@ -244,6 +243,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
     rest = replacing(df, ["decoded"])
     schema = extended(rest, decoded="binary")
 
+    @tidy
     def run(batches):
         coder = codec()
         for whole in batches:
@@ -262,6 +262,7 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     codec = _sharing(df.sparkSession, path, pattern)
 
+    @tidy
     def run(batches):
         coder = codec()
         for whole in batches:

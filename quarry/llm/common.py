@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -61,3 +62,27 @@ def replacing(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def extended(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema with more columns, their types as in SQL; df's own schema stays as it is."""
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
+
+
+def tidy(function):
+    """A map over Arrow batches that gives its memory back at the end; a worker that is used again would keep it."""
+
+    @functools.wraps(function)
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim:
+        trim(0)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import extended, replacing
+from quarry.llm.common import extended, replacing, tidy
 
 SHARE = 0.5
 QUESTION = 0.5
@@ -220,6 +220,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _scan(sent, at: int, kind: pa.DataType, schema: T.StructType):
+    @tidy
     def run(batches):
         index = Index(*sent.value)
         for whole in batches:

@@ -13,8 +13,8 @@ sets link if it is at most THETA = 1 - threshold.
    Shingles that very many documents hold are counted beforehand and left out
    of the parts, where enough others remain. Regions that overlap are joined to
    groups; groups are mostly families of near copies, and no link crosses from
-   one to another. Groups that are not small are parted again, by the shingles
-   that are rare in them.
+   one to another. Groups of more than two are parted again, by the shingles that
+   are rare in them.
 3. Within a group pivots are sets. A pivot's distance to each set of the group
    is taken; sets within THETA link to it. A set is settled once it is linked
    to some pivot and every pivot within 2 THETA of it is in its component: by
@@ -48,14 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable
+from quarry.llm.common import durable, tidy
 from quarry.llm.components import components
 from quarry.llm.cuckoo import CuckooFilter, build
 
 RUN_CHARS = 1_000_000
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Rows of parts that a task sorts at once, to send each of them once.
-HELD = 1 << 21
+HELD = 1 << 19
 #: How rarely a set may have more empty parts than are spare.
 DEVIATIONS = 3
 #: Bits of the table in which shingles are counted, by the number of documents; a bucket is heavy if so many deviations over the mean.
@@ -119,6 +119,10 @@ def _classes(m: Measure, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         low = following
 
 
+#: Odd factors, one for each word of a shingle: the fractional parts of square roots of primes, in 64 bits.
+FACTORS = np.array([int(np.floor((p**0.5 % 1) * 2**52)) << 12 | 1 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)], np.uint64)
+
+
 class Shingler:
     """Shingle sets of many texts as sorted arrays of 64-bit hashes."""
 
@@ -131,25 +135,33 @@ class Shingler:
         rows = [(t or "").encode().lower().split() for t in texts]  # both only touch ASCII
         lengths = np.array([len(r) for r in rows], np.int64)
         flat = [w for r in rows for w in r]
+        words = set(flat)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {w: self.known[w] for w in words if w in self.known}
         known = self.known
-        for w in set(flat) - known.keys():
+        for w in words - known.keys():
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        words = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        coded = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
         width = self.measure.width
         counts = np.where(lengths >= width, lengths - width + 1, (lengths > 0).astype(np.int64))
         owner = np.repeat(np.arange(len(rows)), counts)
         begin = np.cumsum(lengths) - lengths
         at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
-        hashes = np.zeros(len(owner), np.uint64)
-        room = (begin + lengths)[owner] - at  # words from here to the end of the text
+        # All runs of `width` words of the whole stretch at once; those that begin at a shingle's first word are kept.
+        padded = np.concatenate([coded, np.zeros(width, np.uint64)])
+        every = np.zeros(len(coded), np.uint64)
         for k in range(width):
-            inside = room > k
-            word = words[np.minimum(at + k, max(0, len(words) - 1))] if len(words) else hashes
-            hashes = np.where(inside, mix(hashes * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(k + 1)), hashes)
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
+            every += padded[k : k + len(coded)] * FACTORS[k % len(FACTORS)] + np.uint64(k)
+        hashes = mix(every)[at]
+        for row in np.flatnonzero((lengths > 0) & (lengths < width)):  # a whole short text as one
+            value = lengths[row : row + 1].astype(np.uint64)
+            for word in coded[begin[row] : begin[row] + lengths[row]]:
+                value = mix(value * FACTORS[0] + word)
+            hashes[np.searchsorted(owner, row)] = value[0]
+        ends = np.cumsum(counts)
+        for first, last in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            if last - first > 1:
+                hashes[first:last].sort()
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
         hashes, owner = hashes[new], owner[new]
@@ -233,6 +245,7 @@ def set_table(docs: DataFrame, m: Measure, bits: int) -> DataFrame:
     def rows(doc_id, n, digest, bucket):
         return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), digest, bucket], ["doc_id", "n_shingles", "digest", "bucket"])
 
+    @tidy
     def run(batches):
         shingler, counts = Shingler(m), np.zeros(1 << bits, np.int64)
         for batch in batches:
@@ -276,6 +289,7 @@ def region_edges(docs: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
     sent_mask = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy).tobytes())
     buckets = len(heavy)
 
+    @tidy
     def run(batches):
         shingler, mask = Shingler(m), np.unpackbits(np.frombuffer(sent_mask.value, np.uint8))[:buckets].astype(bool)
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -321,6 +335,7 @@ def _first_of_regions(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.
 def _meet(rows: DataFrame) -> DataFrame:
     """a, b: the edges that rows (region, a, b) hold, and one from each region's first set to each other set of it."""
 
+    @tidy
     def run(batches):
         last, first = None, None
         for batch in batches:
@@ -352,6 +367,7 @@ def refined_edges(texts: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
     buckets = len(heavy)
     names = ["key", "node", "root", "sizes"]
 
+    @tidy
     def shingles(batches):
         shingler, mask = Shingler(m), np.unpackbits(np.frombuffer(sent_mask.value, np.uint8))[:buckets].astype(bool)
         for batch in batches:
@@ -369,6 +385,7 @@ def refined_edges(texts: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
                     for at in range(0, len(x), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (x, y, z, w)], names)
 
+    @tidy
     def shared(batches):
         """Rows sorted by key: those that stand alone go; df beside the others, -1 beside the rows with the sizes."""
         held: list[np.ndarray] = []
@@ -396,6 +413,7 @@ def refined_edges(texts: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
         if held and len(held[0]):
             yield told(held)
 
+    @tidy
     def first(batches):
         """Rows sorted by set, df and key, the one with the sizes ahead: the regions of each set's rarest shingles."""
         rows: list[np.ndarray] = []
@@ -524,6 +542,7 @@ def _screened(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     shards = ids.select(F.pmod(F.xxhash64("rep"), F.lit(SCREEN_SHARDS)).cast("int").alias("shard"), "rep").groupBy("shard").applyInArrow(lambda t: pa.table({"shard": t.column("shard").slice(0, 1), "cells": pa.array([build(_id_hash(t.column("rep").to_numpy())).dumps()], pa.binary())}), "shard int, cells binary")
     sent = docs.sparkSession.sparkContext.broadcast([r["cells"] for r in shards.collect()])
 
+    @tidy
     def run(batches):
         filters = [CuckooFilter.loads(c) for c in sent.value]
         for batch in batches:
@@ -544,6 +563,7 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame
     """root, digest, rep and hashes (binary) of the representatives in chosen (rep, root, digest)."""
     texts = _texts(docs, chosen, ["root", "digest", "rep"])
 
+    @tidy
     def run(batches):
         shingler = Shingler(m)
         for batch in batches:
@@ -573,6 +593,7 @@ def _settle_small(sets: DataFrame, m: Measure) -> DataFrame:
     def out(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], ["digest", "component_id"])
 
+    @tidy
     def run(batches):
         held, ready = [], []
         for batch in batches:
@@ -607,6 +628,7 @@ def _settle_large(sets: DataFrame, m: Measure, pivots: int) -> DataFrame:
             break
         packed = chosen.groupBy("root").agg(F.collect_list(F.struct("digest", "hashes")).alias("pivots"))
 
+        @tidy
         def run(batches):
             for batch in batches:
                 rows = []
@@ -644,8 +666,8 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
     groups = components(region_edges(docs, m, heavy), "jaccard-groups")
     member = durable(_with_node(points).join(groups, "node"), "jaccard-members")
     sized = lambda rows: rows.groupBy("root").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    # Groups that are not small are parted first by the shingles that are rare in them.
-    big = durable(member.join(sized(member).where(F.col("shingles") > group_shingles // 16), "root", "left_semi"), "jaccard-big")
+    # Groups of more than a pair are parted first by the shingles that are rare in them.
+    big = durable(member.join(sized(member).where("sets > 2"), "root", "left_semi"), "jaccard-big")
     finer = components(refined_edges(_texts(docs, big, ["root", "node"]), m, heavy), "jaccard-finer")
     parted = big.drop("root").join(finer, "node").select(member.columns)
     member = durable(member.join(big.select("root").distinct(), "root", "left_anti").unionByName(parted), "jaccard-parted")

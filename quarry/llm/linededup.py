@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, durable, extended, replacing
+from quarry.llm.common import ASCII_SPACE, durable, extended, replacing, tidy
 from quarry.llm.cuckoo import CuckooFilter, build
 
 #: Filters of up to this size together are sent to all executors; beyond it, all lines meet the exact table.
@@ -55,6 +55,7 @@ def text_keys(text: str, min_chars: int) -> list[bytes | None]:
 def _key_rows(ids: str, text: str, min_chars: int, screen=None):
     """Rows (doc_id, key) of the distinct keys of each document, if the screen lets them through."""
 
+    @tidy
     def run(batches):
         let = screen() if screen else None
         for whole in batches:
@@ -203,6 +204,7 @@ class LineDedup:
         schema = extended(rest, n_lines="bigint", n_dropped="bigint")
         at, min_chars = rest.columns.index("text"), self.min_chars
 
+        @tidy
         def run(batches):
             for whole in batches:
                 for start in range(0, whole.num_rows, 1024):

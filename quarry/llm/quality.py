@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import extended, replacing
+from quarry.llm.common import extended, replacing, tidy
 
 #: Labelled documents of each label that training reads at most, and characters of each that it reads.
 SAMPLE = 1500
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     rest = replacing(docs, [name])
     schema, at = extended(rest, **{name: "double"}), rest.columns.index("text")
 
+    @tidy
     def run(batches):
         judge = sent.value.scorer()
         for whole in batches:
