@@ -43,8 +43,8 @@ class MergeReplay:
 
     The work on one rank is done for all its positions at once. A merge may
     bring up a pair of a lower rank, which then has to go first in that word;
-    tokens that can do so are known beforehand, and of theirs only the first
-    position of each word is merged before the order is looked at again.
+    tokens that can do so are known beforehand, and of theirs no position of a
+    word is merged after one that does, before the lower rank has had its turn.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -71,6 +71,17 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.made[at], -1)
 
+    def _in_order(self, rank: int, places: np.ndarray, ids: np.ndarray, after: np.ndarray, before: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Which merges may be made now: in each word those up to the first that brings up a lower rank."""
+        gone = after[places]
+        left, right = before[places], after[gone]
+        merged = gone[np.minimum(np.searchsorted(gone, left), len(gone) - 1)] == left  # the merge before it takes the left neighbour
+        made = np.stack([self.merge_of(np.where(merged, rank, ids[left]), np.full(len(places), rank)), self.merge_of(np.full(len(places), rank), ids[right])])
+        stops = ((made >= 0) & (made < rank)).any(0)
+        before_it = np.cumsum(stops) - stops
+        word = np.flatnonzero(np.append(True, owner[places[1:]] != owner[places[:-1]]))
+        return before_it == np.repeat(before_it[word], np.diff(np.append(word, len(places))))
+
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (little-endian unsigned 32-bit integers)."""
         whole = [self.ranks.get(w, -1) for w in words]
@@ -116,14 +127,17 @@ class MergeReplay:
             if not len(places):
                 continue
             if len(places) > 1:
+                # Of pairs that overlap in a row the first, the third and so on are merged.
+                row = np.flatnonzero(np.append(True, places[1:] != after[places[:-1]]))
+                nth = np.arange(len(places)) - np.repeat(row, np.diff(np.append(row, len(places))))
+                now = nth % 2 == 0
                 if self.undercuts[rank]:
-                    now = np.append(True, owner[places[1:]] != owner[places[:-1]])
-                else:  # of pairs that overlap the left one goes first
-                    now = pending[before[places]] != rank
-                if not now.all():
-                    index[rank] = [places[~now]]
-                    heapq.heappush(heap, rank)
-                    places = places[now]
+                    now[now] = self._in_order(rank, places[now], ids, after, before, owner)
+                    left_over = places[~now & ~np.isin(places, after[places[now]])]
+                    if len(left_over):
+                        index[rank] = [left_over]
+                        heapq.heappush(heap, rank)
+                places = places[now]
             gone = after[places]
             right = after[gone]
             ids[places], pending[gone], alive[gone] = rank, -1, False
