@@ -47,7 +47,7 @@ def escape_role(role: Column) -> Column:
 
 def unescape_role(role: Column) -> Column:
     # Between escaped backslashes, "\n" is a line feed.
-    parts = F.split(role, r"\\\\\\\\", -1)
+    parts = F.split(role, r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 

@@ -31,7 +31,8 @@ RISKY_PATHS = "env config settings secret secrets credential credentials deploy
 HARMLESS_PATHS = "test tests spec example examples sample docs doc mock mocks fixture fixtures lock"
 
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
-RUN_WITH_DIGIT = r"(?=[A-Za-z0-9+/_=-]{16})[A-Za-z+/_=-]*+[0-9]"
+# Looked for only where a run begins, so that a long run is gone through once.
+RUN_WITH_DIGIT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z+/_=-]*+[0-9]"
 ASSIGNED = r"""["'][^"'\s]{8,}"""
 FEATURES = ["length", "transitions", "turns", "variety", "digits", "capitals", "hexadecimal", "dictionary", "key_words", "other_words", "assigned", "quoted", "risky_path", "harmless_path"]
 TREES, DEPTH, SEED = 24, 6, 7
@@ -53,11 +54,11 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), place.alias("path"))
     # Most texts hold no candidate; they go before anything is split.
-    rows = rows.where(F.col("text").rlike(RUN_WITH_DIGIT) | F.col("text").rlike(rf"{key}\S*\s*[:=]\s*{ASSIGNED}"))
+    rows = rows.where(F.col("text").rlike(RUN_WITH_DIGIT) | F.col("text").rlike(rf"{key}\S{{0,64}}\s{{0,8}}[:=]\s{{0,8}}{ASSIGNED}"))
     rows = rows.withColumn("words", F.split("text", r"\s", -1))
     word = lambda i: F.coalesce(F.get(F.col("words"), i), F.lit(""))
     is_assigned = lambda i: word(i).rlike(rf"^{ASSIGNED}") & word(i - 1).rlike(r"[:=]$") & F.concat(word(i - 2), word(i - 1)).rlike(key)
-    inner = lambda i: word(i).rlike(rf"{key}\S*[:=]{ASSIGNED}")
+    inner = lambda i: word(i).rlike(rf"{key}\S{{0,64}}[:=]{ASSIGNED}")
     found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(RUN_WITH_DIGIT) | is_assigned(i) | inner(i))
     rows = rows.select("doc_id", "path", "words", F.explode(found).alias("i"))
     rows = rows.withColumns({

