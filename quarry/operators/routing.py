@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import alias_key
@@ -23,11 +23,11 @@ def match_text(tickets: DataFrame, aliases: DataFrame, text: str = "description"
 
     The longest alias wins, then the alias, then the team. The dimension is a
     few dozen names, so Spark's own size check broadcasts it for the
-    containment join; the ticket side is never shuffled before rows match.
+    containment join; each task keeps one hit of a ticket before anything moves.
     """
     hits = tickets.select("ticket_id", F.lower(text).alias("__t")).join(aliases, F.contains(F.col("__t"), F.col("alias")))
-    best = Window.partitionBy("ticket_id").orderBy(F.length("alias").desc(), "alias", "team", "name")
-    return hits.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("ticket_id", "alias", "name", "team")
+    first = F.min(F.struct((-F.length("alias")).alias("__n"), "alias", "team", "name")).alias("__best")
+    return hits.groupBy("ticket_id").agg(first).select("ticket_id", "__best.alias", "__best.name", "__best.team")
 
 
 def route(tickets: DataFrame, objects: DataFrame, areas: DataFrame, eligible: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
