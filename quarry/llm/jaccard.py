@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import durable, tidy
+from quarry.llm.common import discard, durable, tidy
 from quarry.llm.components import components
 from quarry.llm.cuckoo import CuckooFilter, build
 
@@ -664,7 +664,7 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
     points = table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     heavy = heavy_buckets(both, bits)
     groups = components(region_edges(docs, m, heavy), "jaccard-groups")
-    member = durable(_with_node(points).join(groups, "node"), "jaccard-members")
+    every = member = durable(_with_node(points).join(groups, "node"), "jaccard-members")
     sized = lambda rows: rows.groupBy("root").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     # Groups of more than a pair are parted first by the shingles that are rare in them.
     big = durable(member.join(sized(member).where("sets > 2"), "root", "left_semi"), "jaccard-big")
@@ -678,6 +678,8 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
         labels = labels.unionByName(_settle_large(_candidate_sets(docs, member.join(sizes.where(large), "root", "left_semi"), m), m, pivots))
     # Written first, so that the join below has a plain exchange on either side, which Spark can split where a set has very many copies.
     label = durable(points.join(labels, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-labelled")
+    for step in (groups, every, big, finer, member, sizes):  # nothing reads them any more
+        discard(step)
     out = table.join(label.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, durable, extended, replacing, tidy
+from quarry.llm.common import ASCII_SPACE, discard, durable, extended, replacing, tidy
 from quarry.llm.cuckoo import CuckooFilter, build
 
 #: Filters of up to this size together are sent to all executors; beyond it, all lines meet the exact table.
@@ -230,7 +230,10 @@ class LineDedup:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """docs less the lines that they repeat among themselves: one insertion, then one dedup."""
-    return LineDedup(docs.sparkSession, min_docs, min_chars).insert(docs).dedup(docs)
+    state = LineDedup(docs.sparkSession, min_docs, min_chars).insert(docs)
+    out = state.dedup(docs)
+    discard(state.postings)  # only insertions and deletions read them
+    return out
 
 
 def digests(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
