@@ -237,6 +237,19 @@ def test_quality_edges(spark):
     assert quality.contract(docs(spark, []), none).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark):
+    # All texts open alike, for more than 8,000 characters; only what follows tells good from bad.
+    opening = "the same opening of each text goes on and on " * 200
+    good, bad = "careful words that explain the matter well ", "$$$ click !!! win >>> now ### free "
+    rows = [(i, opening + f"{i} " + (good if i % 2 else bad) * 300) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs(spark, rows), labels)
+    assert b"explain the matter" in model.good and b"click !!! win" in model.bad
+    assert max(len(model.good), len(model.bad)) <= quality.DICTIONARY
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs(spark, rows), model).collect()}
+    assert min(got[i] for i in range(1, 60, 2)) > 0.7 > max(got[i] for i in range(0, 60, 2))
+
+
 # --- 8 ---
 
 
