@@ -2,7 +2,7 @@
 
 Candidates are runs of at least 16 letters, digits and +/_=- that hold a digit,
 and quoted values of at least 8 characters that are assigned to a name like
-password. Features: length, character transitions, variety of characters, the
+password, all of them in a text; a value that holds a run gives both. Features: length, character transitions, variety of characters, the
 share covered by dictionary words, words of the path, and neighbouring words.
 
 The forest is trained on labelled findings (before, value, after, path, label).
@@ -33,7 +33,8 @@ HARMLESS_PATHS = "test tests spec example examples sample docs doc mock mocks fi
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 # Looked for only where a run begins, so that a long run is gone through once.
 RUN_WITH_DIGIT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})[A-Za-z+/_=-]*+[0-9]"
-ASSIGNED = r"""["'][^"'\s]{8,}"""
+VALUE = r"""[^"'\s]{8,}"""
+ASSIGNED = rf"""["']{VALUE}"""
 FEATURES = ["length", "transitions", "turns", "variety", "digits", "capitals", "hexadecimal", "dictionary", "key_words", "other_words", "assigned", "quoted", "risky_path", "harmless_path"]
 TREES, DEPTH, SEED = 24, 6, 7
 FINDINGS = 4000
@@ -47,40 +48,48 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
+def _matches(word: Column, pattern: str) -> Column:
+    """at (code points from 0) and text of every match of the pattern in the word."""
+    gaps, found = F.split(word, pattern, -1), F.regexp_extract_all(word, F.lit(f"({pattern})"), 1)
+    return F.aggregate(
+        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("text"))),
+        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,text:string>>").alias("all")),
+        lambda acc, m: F.struct((acc["next"] + m["gap"] + F.char_length(m["text"])).alias("next"), F.concat(acc["all"], F.array(F.struct((acc["next"] + m["gap"]).alias("at"), m["text"].alias("text")))).alias("all")),
+        lambda acc: acc["all"],
+    )
+
+
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start (code points from 0), value, before (the words in front), after and path of each candidate."""
-    key = f"(?i)(?:{_either(KEY_WORDS)})"
+    key = f"(?i:{_either(KEY_WORDS)})"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), place.alias("path"))
     # Most texts hold no candidate; they go before anything is split.
-    rows = rows.where(F.col("text").rlike(RUN_WITH_DIGIT) | F.col("text").rlike(rf"{key}\S{{0,64}}\s{{0,8}}[:=]\s{{0,8}}{ASSIGNED}"))
-    rows = rows.withColumn("words", F.split("text", r"\s", -1))
-    word = lambda i: F.coalesce(F.get(F.col("words"), i), F.lit(""))
-    is_assigned = lambda i: word(i).rlike(rf"^{ASSIGNED}") & word(i - 1).rlike(r"[:=]$") & F.concat(word(i - 2), word(i - 1)).rlike(key)
-    inner = lambda i: word(i).rlike(rf"{key}\S{{0,64}}[:=]{ASSIGNED}")
-    found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(RUN_WITH_DIGIT) | is_assigned(i) | inner(i))
+    rows = rows.where(F.col("text").rlike(RUN_WITH_DIGIT) | (F.col("text").rlike(rf"[:=]\s*+{ASSIGNED}") & F.col("text").rlike(key)))
+    # A word with the white space behind it, so that neighbours are words however wide the space is.
+    rows = rows.withColumn("words", F.split("text", r"(?<=\s)(?=\S)", -1))
+    word = lambda i: F.regexp_replace(F.coalesce(F.get(F.col("words"), i), F.lit("")), r"\s+\z", "")
+    # A value whose sign, or sign and name, are words of their own.
+    is_assigned = lambda i: (word(i).rlike(rf"^{ASSIGNED}") & word(i - 1).rlike(r"[:=]\z") & F.concat(word(i - 2), word(i - 1)).rlike(key)) | (word(i).rlike(rf"^[:=]+{ASSIGNED}") & word(i - 1).rlike(key))
+    inner = rf"{key}\S{{0,64}}?[:=]{ASSIGNED}"
+    found = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(RUN_WITH_DIGIT) | is_assigned(i) | word(i).rlike(inner))
     rows = rows.select("doc_id", "path", "words", F.explode(found).alias("i"))
     rows = rows.withColumns({
         "word": word(F.col("i")),
-        "at": F.aggregate(F.slice("words", 1, F.col("i")), F.lit(0), lambda n, w: n + F.char_length(w) + 1),
+        "led": is_assigned(F.col("i")),
+        "at": F.aggregate(F.slice("words", 1, F.col("i")), F.lit(0), lambda n, w: n + F.char_length(w)),
         "before": F.concat_ws(" ", word(F.col("i") - 3), word(F.col("i") - 2), word(F.col("i") - 1)),
         "after": F.concat_ws(" ", word(F.col("i") + 1), word(F.col("i") + 2)),
     })
-    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), 1), lambda r: r.rlike("[0-9]"))
-    quoted = F.regexp_extract("word", r"""["']([^"'\s]{8,})""", 1)
-    values = F.when(F.size(runs) > 0, runs).otherwise(F.filter(F.array(quoted), lambda v: v != ""))
-    rows = rows.select("doc_id", "path", "word", "at", "before", "after", F.posexplode(values).alias("nth", "value"), values.alias("values"))
-    # Where the nth value begins in the word: what stands before it is cut off value by value.
-    start = F.aggregate(
-        F.slice("values", 1, F.col("nth") + 1),
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("next")),
-        lambda acc, v: F.struct((acc["next"] + F.instr(F.substr("word", acc["next"] + 1), v) - 1).alias("at"), (acc["next"] + F.instr(F.substr("word", acc["next"] + 1), v) - 1 + F.char_length(v)).alias("next")),
-        lambda acc: acc["at"],
-    )
-    rows = rows.withColumn("inside", start)
-    before = F.concat_ws(" ", "before", F.substr("word", F.lit(1), F.col("inside")))
-    return rows.select("doc_id", (F.col("at") + F.col("inside")).cast("bigint").alias("start"), "value", before.alias("before"), "after", "path")
+    runs = F.filter(_matches(F.col("word"), RUN), lambda m: m["text"].rlike("[0-9]"))
+    # A match ends with its value; what stands before that are name, sign and quote.
+    value = lambda m: F.regexp_extract(m["text"], rf"({VALUE})\z", 1)
+    ends = lambda m: F.struct((m["at"] + F.char_length(m["text"]) - F.char_length(value(m))).alias("at"), value(m).alias("text"))
+    quoted = F.transform(F.when(F.col("led"), _matches(F.col("word"), rf"(?:^[:=]*|{key}\S{{0,64}}?[:=]){ASSIGNED}")).otherwise(_matches(F.col("word"), inner)), ends)
+    rows = rows.select("doc_id", "path", "word", "at", "before", "after", F.explode(F.array_union(runs, quoted)).alias("m"))
+    before = F.concat_ws(" ", "before", F.substr("word", F.lit(1), F.col("m.at")))
+    return rows.select("doc_id", (F.col("at") + F.col("m.at")).cast("bigint").alias("start"), F.col("m.text").alias("value"), before.alias("before"), "after", "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:

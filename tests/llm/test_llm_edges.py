@@ -36,6 +36,26 @@ def test_secret_candidates(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_all_assigned_values_of_a_text(spark):
+    texts = {
+        1: ('{"password":"hunter2abc!"}', ["hunter2abc!"]),
+        2: ('{"user":"bob","password":"Tr0ub4dor&3"}', ["Tr0ub4dor&3"]),
+        3: ('{"id":"a1b2c3d4e5f6a7b8c9d0","password":"s3cr3t!pw"}', ["a1b2c3d4e5f6a7b8c9d0", "s3cr3t!pw"]),
+        4: ('{"password":"password","token":"password","secret":"é!hunter2"}', ["password", "password", "é!hunter2"]),
+        5: ('user     = "bob"\npassword            =   "hunter2abc"\n  é  token\t\t: \'s3cr3t!pw\'', ["hunter2abc", "s3cr3t!pw"]),
+        6: ('password ="hunter2abc" secret= "s3cr3t!pw"', ["hunter2abc", "s3cr3t!pw"]),
+        7: ('token = "x!a1b2c3d4e5f6a7b8c9d0"', ["a1b2c3d4e5f6a7b8c9d0", "x!a1b2c3d4e5f6a7b8c9d0"]),
+        8: ('the key is here: nothing "quoted words" for it', []),
+    }
+    got = {}
+    for r in secrets.scan(docs(spark, [(i, t) for i, (t, _) in texts.items()])).collect():
+        assert texts[r["doc_id"]][0][r["start"] :].startswith(r["value"])
+        got.setdefault(r["doc_id"], []).append((r["start"], r["value"]))
+    assert all(len(set(v)) == len(v) for v in got.values())
+    assert {i: sorted(x for _, x in got.get(i, [])) for i in texts} == {i: sorted(v) for i, (_, v) in texts.items()}
+    assert all(texts[4][0][s - 1] == '"' and texts[4][0][s - 2] == ":" for s, _ in got[4])
+
+
 def test_forest_expression_agrees_with_the_forest(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
