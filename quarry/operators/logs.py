@@ -49,3 +49,15 @@ def preceding_changes(tickets: DataFrame, changes: DataFrame, days: int = 14) ->
     right = changes.select("change_id", "change_ts", bucket("change_ts").alias("__b"))
     fits = (F.col("change_ts") <= F.col("opened_ts")) & (F.col("change_ts") >= F.col("opened_ts") - F.make_dt_interval(F.lit(days)))
     return left.join(right, "__b").where(fits).select("ticket_id", "change_id")
+
+
+def preceding_change_counts(tickets: DataFrame, changes: DataFrame, days: int = 14) -> DataFrame:
+    """n_changes, key_sum and key_xor (of change_id, a number) of each ticket's preceding changes, 0 without any.
+
+    Changes are added up by their time before they meet tickets, so the join
+    makes a row for each time within a ticket's days and not for each change.
+    """
+    times = changes.where("change_ts is not null").groupBy("change_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("change_id").alias("s"), F.bit_xor("change_id").alias("x"))
+    met = preceding_changes(tickets, times.select(F.struct("n", "s", "x").alias("change_id"), "change_ts"), days)
+    told = met.groupBy("ticket_id").agg(F.sum("change_id.n").alias("n_changes"), F.sum("change_id.s").alias("key_sum"), F.bit_xor("change_id.x").alias("key_xor"))
+    return tickets.select("ticket_id").join(told, "ticket_id", "left").na.fill(0, ["n_changes", "key_sum", "key_xor"])

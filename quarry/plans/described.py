@@ -64,6 +64,13 @@ def none_label(spark, d):
     return table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy(or_none("o_orderpriority").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT coalesce(o_orderpriority, '[None]') AS skill, count(*) AS n FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def none_label_all(spark, d):
+    """All lines with all orders; a line without one counts as [None]."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return rows.groupBy(or_none("o_orderpriority").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT date_trunc('hour', ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def interval_bucket(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour")["start"].alias("bucket"), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -208,6 +208,17 @@ def release_interval(spark, d):
     return logs.preceding_changes(tickets, o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("change_ts")))
 
 
+@query("""
+    WITH t AS (SELECT o_orderkey AS ticket_id, o_orderdate AS opened_ts FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
+    SELECT ticket_id, count(c.o_orderkey) AS n_changes, coalesce(sum(c.o_orderkey), 0)::BIGINT AS key_sum, coalesce(bit_xor(c.o_orderkey), 0) AS key_xor
+    FROM t LEFT JOIN orders c ON c.o_orderdate <= opened_ts AND c.o_orderdate >= opened_ts - INTERVAL 14 DAY GROUP BY 1""")
+def release_interval_all(spark, d):
+    """All orders as changes; the pairs are told as a count and two digests of a ticket."""
+    o = table(spark, d, "orders")
+    tickets = o.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderdate").alias("opened_ts"))
+    return logs.preceding_change_counts(tickets, o.select(F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("change_ts")))
+
+
 @query("""
     WITH r AS (SELECT o_orderkey, strftime(o_orderdate, '%Y') || '-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-01..' || strftime(o_orderdate, '%Y-%m-%d') AS rng FROM orders)
     SELECT o_orderkey, rng, (try_strptime(split_part(rng, '..', 1), '%Y-%m-%d') IS NULL OR try_strptime(split_part(rng, '..', 2), '%Y-%m-%d') < try_strptime(split_part(rng, '..', 1), '%Y-%m-%d')) AS bad FROM r""")

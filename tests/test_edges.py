@@ -205,3 +205,32 @@ def test_empty_tables(spark):
     tests = spark.createDataFrame([], "test_id int, summary string")
     assert coverage.shortlist(tickets, tests).count() == 0
     assert coverage.verdicts(tickets, coverage.shortlist(tickets, tests), F.lit(True)).count() == 0
+
+
+def test_all_orders_are_changes(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from quarry.plans import registry
+
+    first = datetime(2030, 1, 1, 12)
+    rows = [(i, first + timedelta(hours=31 * (i % 40)), "1-URGENT" if i % 7 == 3 else "5-LOW", "P") for i in range(1, 121)] + [(500, None, "1-URGENT", "P")]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["ticket_id"]: (r["n_changes"], r["key_sum"], r["key_xor"]) for r in registry.queries()["release_interval_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, opened, priority, _ in rows:
+        if priority == "1-URGENT":
+            own = [k for k, ts, _, _ in rows if opened and ts and opened - timedelta(days=14) <= ts <= opened]
+            xor = 0
+            for k in own:
+                xor ^= k
+            want[i] = (len(own), sum(own), xor)
+    assert got == want and any(n > 1 for n, _, _ in want.values()) and want[500] == (0, 0, 0)
+
+
+def test_lines_without_an_order(spark, tmp_path):
+    from quarry.plans import registry
+
+    spark.createDataFrame([(1,), (1,), (4,), (5,), (None,), (8,)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "1-URGENT"), (4, "5-LOW"), (8, None), (9, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["skill"]: r["n"] for r in registry.queries()["none_label_all"](spark, str(tmp_path)).collect()}
+    assert got == {"1-URGENT": 2, "5-LOW": 1, "[None]": 3}
