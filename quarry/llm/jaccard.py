@@ -375,12 +375,15 @@ def refined_edges(texts: DataFrame, m: Measure, heavy: np.ndarray) -> DataFrame:
             for a, b in _runs(rows):
                 hashes, offsets = shingler.sets(rows[a:b])
                 root, node = (batch.column(i).to_numpy()[a:b] for i in (0, 1))
+                n = np.diff(offsets)
+                # A representative's id may stand beside other texts, whose sets are not asked for.
+                asked = np.array([d is not None and _node(d) == x for d, x in zip(digests(hashes, offsets), node.tolist(), strict=True)], bool)
+                hashes, root, node, n = hashes[np.repeat(asked, n)], root[asked], node[asked], n[asked]
                 rare = ~mask[bucket_of(hashes, (buckets - 1).bit_length())]
-                owner = np.repeat(np.arange(b - a), np.diff(offsets))[rare]
+                owner = np.repeat(np.arange(len(n)), n)[rare]
                 key = mix(hashes[rare] ^ mix(root.view(np.uint64))[owner]).view(np.int64)
                 none = np.zeros(len(key), np.int64)
-                n = np.diff(offsets)
-                sizes = (n << 32) | np.bincount(owner, minlength=b - a)
+                sizes = (n << 32) | np.bincount(owner, minlength=len(n))
                 for x, y, z, w in ((key, node[owner], none, none), (mix(node.view(np.uint64)).view(np.int64), node, root, sizes)):
                     for at in range(0, len(x), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (x, y, z, w)], names)
@@ -560,7 +563,10 @@ def _id_hash(ids: np.ndarray) -> np.ndarray:
 
 
 def _candidate_sets(docs: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame:
-    """root, digest, rep and hashes (binary) of the representatives in chosen (rep, root, digest)."""
+    """root, digest, rep and hashes (binary) of the representatives in chosen (rep, root, digest).
+
+    Rows with a representative's id and another text are left out.
+    """
     texts = _texts(docs, chosen, ["root", "digest", "rep"])
 
     @tidy
@@ -571,7 +577,8 @@ def _candidate_sets(docs: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame
             for a, b in _runs(texts):
                 hashes, offsets = shingler.sets(texts[a:b])
                 raw = [hashes[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(raw, pa.binary())], ["root", "digest", "rep", "hashes"])
+                asked = pa.array([x == y for x, y in zip(digests(hashes, offsets), batch.column(1).slice(a, b - a).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(raw, pa.binary())], ["root", "digest", "rep", "hashes"]).filter(asked)
 
     return texts.mapInArrow(run, "root bigint, digest binary, rep bigint, hashes binary")
 
@@ -580,7 +587,7 @@ def _settle_small(sets: DataFrame, m: Measure) -> DataFrame:
     """digest and component_id; the rows of a group come one after the other."""
 
     def one(rows):
-        # A representative's id may stand in several rows; a set counts once.
+        # A representative's row may be repeated; a set counts once.
         own = {d: (rep, np.frombuffer(h, np.uint64)) for _, d, rep, h in rows}
         if len(own) < 2:
             return []

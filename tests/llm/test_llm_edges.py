@@ -239,6 +239,29 @@ def test_jaccard_families(spark, width, top, shingles, pivots):
     assert got == components(rows, width, top)
 
 
+@pytest.mark.parametrize("shingles", [4_000_000, 120])
+def test_jaccard_ids_with_several_texts(spark, shingles):
+    from test_brute import components
+
+    import random
+
+    random.seed(5)
+    texts = []
+    for _ in range(12):
+        base = [random.choice("abcdefghij") + random.choice("klmnopq") for _ in range(40)]
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base[random.randrange(40)] = random.choice("rstuvw")
+    # Texts of different families share their ids.
+    ids = [random.randrange(18) for _ in texts]
+    own = components(list(enumerate(texts)), 2, 80)
+    least = {}
+    for i, (_, c) in own.items():
+        least[c] = min(least.get(c, 99), ids[i])
+    got = jaccard.jaccard_components(docs(spark, list(zip(ids, texts, strict=True))), 2, 80, group_shingles=shingles, pivots=6).collect()
+    assert sorted(map(tuple, got)) == sorted((ids[i], n, least[c]) for i, (n, c) in own.items())
+
+
 # --- 7 ---
 
 
