@@ -17,9 +17,9 @@ of what the tasks found.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do rows without an id; vectors are compared only with those
-of their own number of dimensions, those of none with a score of 0; of rows
-that share an id one counts, the one that sorts last; equal scores go to the
-smaller id; a query never finds its own id; scores beyond a long are held at
+of their own number of dimensions, those of none with a score of 0; rows that
+share an id all count, as candidates and as queries of one result, and of those
+that share id and vector one; equal scores go to the smaller id; a query never finds its own id; scores beyond a long are held at
 its limits; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -61,7 +61,7 @@ def _pack(rows: DataFrame, blocks: int, label: str) -> DataFrame:
         v = flat.reshape(len(ids), dims)
         order = np.lexsort((*v.T[::-1], ids))
         ids, v = ids[order], v[order]
-        last = np.append(ids[1:] != ids[:-1], True)  # one row for each id
+        last = np.append((ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1), True)  # rows that are wholly equal count once
         ids, v = ids[last], v[last]
         most = np.abs(v).max(initial=0)
         kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"

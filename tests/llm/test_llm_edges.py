@@ -84,6 +84,16 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (1, [8.0, 9.0]), (2, [3.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=4, scale=1).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[0]) == [(1, 1, 9), (2, 1, 8), (3, 2, 3), (4, 1, 2)]
+    assert sorted(got[100]) == [(1, 1, 9), (2, 1, 5), (3, 0, 0), (4, 0, 0)]
+
+
 def test_top_k_random_with_large_numbers(spark):
     rng = np.random.default_rng(3)
     for scale, n in ((1.0, 700), (1e5, 120)):
