@@ -196,6 +196,11 @@ def tokens(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(_col(c), F.lit(""))), "[^a-z0-9]+", -1), lambda t: t != ""))
 
 
+def words(c: Column | str) -> Column:
+    """The runs of letters and digits of the lower-cased text, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(_col(c), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda t: t != "")
+
+
 def range_ends(c: Column | str) -> tuple[Column, Column]:
     """The two ends of yyyy-mm-dd..yyyy-mm-dd as dates; null for what is no date."""
     halves = F.split(_col(c), r"\.\.", -1)

@@ -5,25 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import alias_key, tokens
 
 #: Jaccard similarity of distinct words from which a test counts as aligned, or as partly so.
 ALIGNED, PARTIAL = 0.5, 0.2
 
 
-def token_rows(df: DataFrame, key: str, text: str, size: str) -> DataFrame:
-    """key, token, and how many distinct words the text has in all."""
-    return df.select(key, tokens(text).alias("__t")).select(key, F.size("__t").alias(size), F.explode("__t").alias("token"))
+def shortlist(tickets: DataFrame, tests: DataFrame, least: tuple[int, int] = (1, 5)) -> DataFrame:
+    """ticket_id, test_id, shared, similarity of the pairs whose Jaccard similarity of distinct words is at least least[0] / least[1].
 
-
-def shortlist(tickets: DataFrame, tests: DataFrame, least: int = 1) -> DataFrame:
-    """ticket_id, test_id, shared, similarity of the pairs with at least `least` words in common.
-
-    An equi-join on words: only pairs that share one are ever formed.
+    Words are ordered by how many tests hold them, those of no test first. Two
+    sets that are similar enough share one of the first n - ceil(t n) + 1 words of
+    each in that order, so only those meet, in an equi-join; pairs whose sizes
+    are too far apart go at once, and the rest are counted over all their words.
     """
-    left, right = token_rows(tickets, "ticket_id", "description", "a"), token_rows(tests, "test_id", "summary", "b")
-    shared = left.join(right, "token").groupBy("ticket_id", "test_id", "a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    return shared.select("ticket_id", "test_id", "shared", (F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))).alias("similarity"))
+    top, bottom = least
+    kept = lambda n: n - F.ceil(n * top / bottom) + 1
+    held = tests.select("test_id", tokens("summary").alias("t")).select("test_id", F.size("t").alias("b"), F.explode("t").alias("token"))
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    right = held.join(df, "token").groupBy("test_id", "b").agg(ordered.alias("w"))
+    right = right.select("test_id", "b", F.col("w").alias("test_words"), F.explode(F.slice("w", 1, kept(F.col("b")).cast("int"))).alias("token"))
+    told = tickets.select("ticket_id", tokens("description").alias("t")).select("ticket_id", F.size("t").alias("a"), F.explode("t").alias("token"))
+    # Only words of some test can be shared; those of none stand first in the order and use up a ticket's prefix.
+    left = told.join(df, "token").groupBy("ticket_id", "a").agg(ordered.alias("w"))
+    prefix = F.greatest(kept(F.col("a")).cast("int") - (F.col("a") - F.size("w")), F.lit(0))
+    left = left.where(F.size("w") * bottom >= F.col("a") * top).select("ticket_id", "a", F.col("w").alias("ticket_words"), F.explode(F.slice("w", 1, prefix)).alias("token"))
+    near = (F.col("a") * bottom >= F.col("b") * top) & (F.col("b") * bottom >= F.col("a") * top)
+    pairs = left.join(right, "token").where(near).groupBy("ticket_id", "test_id", "a", "b").agg(F.first("ticket_words").alias("x"), F.first("test_words").alias("y"))
+    pairs = pairs.select("ticket_id", "test_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), (F.col("a") + F.col("b")).alias("__n"))
+    return pairs.where(F.col("shared") * bottom >= (F.col("__n") - F.col("shared")) * top).select("ticket_id", "test_id", "shared", (F.col("shared") / (F.col("__n") - F.col("shared"))).alias("similarity"))
+
+
+def folders_of(named: DataFrame, folders: DataFrame, name: str = "name") -> DataFrame:
+    """named with folder_path: the catalogue folder of each row's object, by the name as alias_key() compares it; null without one."""
+    map_ = folders.select(alias_key("widget").alias("__key"), "folder_path").groupBy("__key").agg(F.min("folder_path").alias("folder_path"))
+    return named.join(map_, alias_key(name) == F.col("__key"), "left").drop("__key")
+
+
+def untested(objects: DataFrame, tests: DataFrame) -> DataFrame:
+    """The objects (with folder_path) whose folder and all below it hold no test: gaps of the catalogue."""
+    return objects.join(recursive_counts(tests), F.col("folder_path") == F.col("folder"), "left_anti")
 
 
 def alignment(similarity: Column | str) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.carry import carried
 
-def attribute(log: DataFrame, request: Column, by: list[str], key: list[str]) -> DataFrame:
-    """log with request_id: a line's own request, else that of the nearest line before it, and whether it was lent.
 
-    Adjacency is a guess when requests interleave: attributed says where it was used.
+def attribute(log: DataFrame, request: Column, by: list[str], key: list[str], bucket: Column) -> DataFrame:
+    """log with request_id: a line's own request, else that of the nearest line before it in its group, and whether it was lent.
+
+    bucket (an hour of the time, say) only deals the work out: a request is
+    carried over its borders. Adjacency is a guess when requests interleave:
+    attributed says where it was used.
     """
-    w = Window.partitionBy(*by).orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumns({"request_id": F.last(request, True).over(w), "attributed": request.isNull()})
+    return carried(log.withColumn("attributed", request.isNull()), {"request_id": request}, by, bucket, key)
 
 
 def correlate(log: DataFrame, request: str = "request_id") -> DataFrame:

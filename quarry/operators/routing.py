@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import alias_key
+from quarry.functions.text import alias_key, words
 
 UNRESOLVED = "Unresolved — needs manual routing"
 RETIRED = "N/A (deprecated)"
@@ -18,16 +18,30 @@ def expand_aliases(owners: DataFrame, name: str, aliases: str = "aliases") -> Da
     return owners.select(F.explode(F.array_distinct(F.filter(F.transform(every, alias_key), lambda a: a != ""))).alias("alias"), F.col(name).alias("name"), "team")
 
 
-def match_text(tickets: DataFrame, aliases: DataFrame, text: str = "description") -> DataFrame:
-    """ticket_id, alias, name and team of the best alias that each ticket's text contains.
+def phrases(text: Column | str, longest: int) -> Column:
+    """The distinct runs of 1 to `longest` words of a text, joined by blanks."""
+    at = lambda t, n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+    every = F.transform(F.array(words(text)), lambda t: F.flatten(F.array(*[t if n == 1 else F.when(F.size(t) >= n, at(t, n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])))
+    return F.array_distinct(every[0])
 
-    The longest alias wins, then the alias, then the team. The dimension is a
-    few dozen names, so Spark's own size check broadcasts it for the
-    containment join; each task keeps one hit of a ticket before anything moves.
+
+def match_text(tickets: DataFrame, aliases: DataFrame, text: str = "description", kinds: tuple[str, ...] = ()) -> DataFrame:
+    """ticket_id, alias, name and team of the best alias that each ticket's text contains as whole words.
+
+    The longest alias wins, then the alias, then the team. An equi-join: a
+    text's phrases of as many words as an alias has (a number that is looked
+    up first) meet the aliases; an alias without a letter or digit never fits.
+    With kinds, aliases carry a column kind and one pass finds the best of
+    each, as columns <kind>_alias, <kind>_name and <kind>_team.
     """
-    hits = tickets.select("ticket_id", F.lower(text).alias("__t")).join(aliases, F.contains(F.col("__t"), F.col("alias")))
-    first = F.min(F.struct((-F.length("alias")).alias("__n"), "alias", "team", "name")).alias("__best")
-    return hits.groupBy("ticket_id").agg(first).select("ticket_id", "__best.alias", "__best.name", "__best.team")
+    filed = aliases.withColumn("phrase", F.array_join(words("alias"), " ")).where("phrase <> ''")
+    longest = filed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    hits = tickets.select("ticket_id", F.explode(phrases(text, longest)).alias("phrase")).join(filed, "phrase")
+    rank = F.struct((-F.length("alias")).alias("__n"), "alias", "team", "name")
+    if not kinds:
+        return hits.groupBy("ticket_id").agg(F.min(rank).alias("__best")).select("ticket_id", "__best.alias", "__best.name", "__best.team")
+    best = hits.groupBy("ticket_id").agg(*[F.min(F.when(F.col("kind") == k, rank)).alias(f"__{k}") for k in kinds])
+    return best.select("ticket_id", *[F.col(f"__{k}.{c}").alias(f"{k}_{c}") for k in kinds for c in ("alias", "name", "team")])
 
 
 def route(tickets: DataFrame, objects: DataFrame, areas: DataFrame, eligible: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
@@ -35,9 +49,8 @@ def route(tickets: DataFrame, objects: DataFrame, areas: DataFrame, eligible: Da
 
     A deprecated owner is none: such tickets are reported as retired, not passed on.
     """
-    a = match_text(tickets, objects).select("ticket_id", F.col("team").alias("a_team"))
-    b = match_text(tickets, areas).select("ticket_id", F.col("team").alias("b_team"))
-    out = tickets.select("ticket_id", *(["source"] if fallback is not None else [])).join(a, "ticket_id", "left").join(b, "ticket_id", "left")
+    maps = objects.withColumn("kind", F.lit("a")).unionByName(areas.withColumn("kind", F.lit("b")))
+    out = tickets.select("ticket_id", *(["source"] if fallback is not None else [])).join(match_text(tickets, maps, kinds=("a", "b")), "ticket_id", "left")
     out = out.join(fallback.select("source", F.col("team").alias("c_team")), "source", "left") if fallback is not None else out.withColumn("c_team", F.lit(None).cast("string"))
     found = F.coalesce("a_team", "b_team", "c_team")
     basis = F.when(F.col("a_team") == DEPRECATED, "deprecated").when(F.col("a_team").isNotNull(), "object").when(F.col("b_team").isNotNull(), "area").when(F.col("c_team").isNotNull(), "source").otherwise("none")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import words
+
 # What usually lies behind a symptom, first match first.
 CAUSES = [
     ("api_data_ui_empty", "Frontend rendering"),
@@ -46,3 +48,21 @@ def voted(findings: DataFrame, votes: DataFrame) -> DataFrame:
 def priority(impact: Column, workaround: Column, loss: Column) -> Column:
     """Our own table (the criteria are not published): loss of data first, then reach, then whether there is a way round."""
     return F.when(loss, "P1").when((impact == "many") & ~workaround, "P2").when((impact == "many") | ~workaround, "P3").otherwise("P4")
+
+
+def classified(text: Column, rules: list[tuple[str, str, list[str]]], default: str = "unknown") -> dict[str, Column]:
+    """For each field of the caller's rules (field, value, words) the value of the first rule one of whose words the text holds, and confidence.
+
+    The criteria are not published, so the table is the caller's. Confidence is
+    High if every field was found, Low if none was, else Medium.
+    """
+    own = words(text)
+    fields = list(dict.fromkeys(f for f, _, _ in rules))
+    found = {}
+    for field in fields:
+        out = F.lit(None).cast("string")
+        for _, value, held in reversed([r for r in rules if r[0] == field]):
+            out = F.when(F.arrays_overlap(own, F.array(*map(F.lit, held))), value).otherwise(out)
+        found[field] = out
+    n = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in found.values()), F.lit(0))
+    return {f: F.coalesce(c, F.lit(default)) for f, c in found.items()} | {"confidence": F.when(n == len(fields), "High").when(n == 0, "Low").otherwise("Medium")}

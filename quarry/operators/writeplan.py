@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import DRAFT_LIMIT, FOLDER_CHARS, TITLE_CHARS, allow_listed, cap, first_filled, is_issue_key, priority_flag, strip
@@ -48,11 +48,12 @@ def coverage_links(created: DataFrame, bugs: DataFrame) -> DataFrame:
     return created.join(bugs.where(F.col("bug_id") != ""), "request_id").select("key", "bug_id")
 
 
-def comment_plan(rows: DataFrame) -> DataFrame:
-    """ticket_id, status, reason of comments that would be posted: a key and a cause are needed."""
+def comment_plan(rows: DataFrame, body: Column) -> DataFrame:
+    """bug_id, status, reason and payload (the body as it would be posted, null if rejected): a key and a cause are needed."""
     key = strip(F.coalesce("bug_id", F.lit("")))
     reason = F.when(key == "", "no key").when(~is_issue_key(key), "not a key").when(F.size(F.filter("causes", lambda x: F.coalesce(strip(x), F.lit("")) != "")) <= 0, "no cause")
-    return rows.select(key.alias("bug_id"), F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"), reason.alias("reason"))
+    payload = F.when(reason.isNull(), F.to_json(F.struct(body.alias("body"))))
+    return rows.select(key.alias("bug_id"), F.when(reason.isNull(), "ok").otherwise("rejected").alias("status"), reason.alias("reason"), payload.alias("payload"))
 
 
 def missing_settings(settings: DataFrame, names: list[str]) -> DataFrame:
@@ -61,8 +62,9 @@ def missing_settings(settings: DataFrame, names: list[str]) -> DataFrame:
     return settings.agg(F.array_join(F.filter(F.array(*map(F.lit, names)), lambda n: ~F.array_contains(have, n)), ", ").alias("missing"))
 
 
-def health(settings: DataFrame, names: list[str]) -> DataFrame:
-    """ready and creds (name -> has a value) as one row."""
+def health(settings: DataFrame, names: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """creds (name -> has a value) and ready, as one row, or one for each group."""
     have = F.coalesce(F.collect_set(F.when(strip("val") != "", F.col("key"))), F.array().cast("array<string>"))
     creds = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_contains(have, n))
-    return settings.agg(F.map_from_arrays(F.array(*map(F.lit, names)), creds).alias("creds")).withColumn("ready", F.forall(F.map_values("creds"), lambda x: x))
+    made = settings.groupBy(*by).agg(F.map_from_arrays(F.array(*map(F.lit, names)), creds).alias("creds"))
+    return made.withColumn("ready", F.forall(F.map_values("creds"), lambda x: x))

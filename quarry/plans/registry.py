@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from quarry.plans import described, extensions, texts, triage  # noqa: F401
+    from quarry.plans import described, extensions, lookups, texts, triage  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,21 +14,24 @@ from quarry.operators import coverage, drafts, logs, routing, rules, writeplan
 from quarry.plans.registry import query, table
 from quarry.sources import readers
 
-OBJECTS = [("Aned", ["aned"], "Amber"), ("Thanedble", ["thanedble"], "Basalt"), ("Elle", ["elle"], "Cobalt"), ("Pour", ["pour"], "Dune"), ("Anha", ["anha"], "deprecated")]
-AREAS = [("Ones", ["ones"], "Ember"), ("Rely", ["rely"], "Flint")]
+OBJECTS = [("Rest", ["of the"], "Amber"), ("Here", [], "Basalt"), ("Reer", ["von der"], "Cobalt"), ("Onan", [], "Dune"), ("Inhe", [], "deprecated")]
+AREAS = [("Ansh", ["un"], "Ember"), ("Ist", [], "Flint")]
 SOURCES = [("src1", "Amber"), ("src2", "Flint")]
 ELIGIBLE = ["Amber", "Cobalt", "Ember"]
+FOLDERS = [("rest", "/en"), (" REER", "/de/1"), ("Onan", "/fr"), ("Inhe", "/zz")]
 
 _VALUES = """
-    obj(alias, name, team) AS (VALUES ('aned','Aned','Amber'),('thanedble','Thanedble','Basalt'),('elle','Elle','Cobalt'),('pour','Pour','Dune'),('anha','Anha','deprecated')),
-    area(alias, name, team) AS (VALUES ('ones','Ones','Ember'),('rely','Rely','Flint')),
+    obj(alias, name, team) AS (VALUES ('rest','Rest','Amber'),('of the','Rest','Amber'),('here','Here','Basalt'),('reer','Reer','Cobalt'),('von der','Reer','Cobalt'),('onan','Onan','Dune'),('inhe','Inhe','deprecated')),
+    area(alias, name, team) AS (VALUES ('ansh','Ansh','Ember'),('un','Ansh','Ember'),('ist','Ist','Flint')),
     src(source, team) AS (VALUES ('src1','Amber'),('src2','Flint')),
-    elig(team) AS (VALUES ('Amber'),('Cobalt'),('Ember'))"""
+    elig(team) AS (VALUES ('Amber'),('Cobalt'),('Ember')),
+    folder_map(name, folder_path) AS (VALUES ('Rest', '/en'), ('Reer', '/de/1'), ('Onan', '/fr'), ('Inhe', '/zz'))"""
 
 _ROUTED = f"""
     WITH {_VALUES},
-    a AS (SELECT doc_id, team, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias, team) AS n FROM documents JOIN obj ON contains(lower(text), alias)),
-    b AS (SELECT doc_id, team, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias, team) AS n FROM documents JOIN area ON contains(lower(text), alias)),
+    words AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS said FROM documents),
+    a AS (SELECT doc_id, team, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias, team) AS n FROM words JOIN obj ON contains(said, ' ' || alias || ' ')),
+    b AS (SELECT doc_id, team, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias, team) AS n FROM words JOIN area ON contains(said, ' ' || alias || ' ')),
     r AS (
       SELECT d.doc_id AS ticket_id, a.team AS ot, b.team AS bt, s.team AS st, coalesce(a.team, b.team, s.team) AS t
       FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id AND a.n = 1 LEFT JOIN b ON b.doc_id = d.doc_id AND b.n = 1 LEFT JOIN src s USING (source)),
@@ -36,7 +39,8 @@ _ROUTED = f"""
       SELECT ticket_id, CASE WHEN t = 'deprecated' THEN 'N/A (deprecated)' ELSE coalesce(t, 'Unresolved — needs manual routing') END AS team,
              coalesce(t IN (SELECT team FROM elig), false) AS code_rca_eligible,
              CASE WHEN ot = 'deprecated' THEN 'deprecated' WHEN ot IS NOT NULL THEN 'object' WHEN bt IS NOT NULL THEN 'area' WHEN st IS NOT NULL THEN 'source' ELSE 'none' END AS match_basis
-      FROM r)"""
+      FROM r),
+    placed AS (SELECT d.doc_id AS ticket_id, a.name, f.folder_path FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id AND a.n = 1 LEFT JOIN folder_map f ON f.name = a.name)"""
 
 
 def _dims(spark):
@@ -72,11 +76,14 @@ def owner_counts(spark, d):
 
 
 @query("""
-    WITH w(name, aliases, team) AS (VALUES ('Alpha', ['alfa', ' ALPHA  one'], 'Amber'), ('Beta', [], 'Basalt'))
-    SELECT DISTINCT lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) AS alias, name, team
-    FROM (SELECT unnest(list_concat([name], aliases)) AS a, name, team FROM w)""")
+    WITH w AS (SELECT p_name AS name, [' ' || upper(p_brand) || '  ' || p_type, p_name] AS aliases, 'T' || p_size AS team FROM part)
+    SELECT alias, name, team FROM (
+      SELECT DISTINCT p, lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) AS alias, name, team
+      FROM (SELECT unnest(list_concat([name], aliases)) AS a, name, team, p FROM (SELECT *, row_number() OVER () AS p FROM w)))""")
 def alias_explode(spark, d):
-    return routing.expand_aliases(spark.createDataFrame([("Alpha", ["alfa", " ALPHA  one"], "Amber"), ("Beta", [], "Basalt")], "widget string, aliases array<string>, team string"), "widget")
+    p = table(spark, d, "part")
+    owners = p.select(F.col("p_name").alias("widget"), F.array(F.concat(F.lit(" "), F.upper("p_brand"), F.lit("  "), F.col("p_type")), F.col("p_name")).alias("aliases"), F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("team"))
+    return routing.expand_aliases(owners, "widget")
 
 
 @query(f"{_ROUTED} SELECT ticket_id, team FROM routed WHERE team IN (SELECT team FROM elig)")
@@ -104,23 +111,53 @@ _PAIRS = """
       FROM (SELECT ticket_id, test_id, count(*) AS shared FROM t2 JOIN b2 USING (token) GROUP BY ALL) JOIN ta USING (ticket_id) JOIN tb USING (test_id))"""
 
 
-@query(f"WITH {_PAIRS} SELECT ticket_id, test_id, shared, round(similarity, 9) AS similarity FROM pairs WHERE shared >= 12")
+@query(f"WITH {_PAIRS} SELECT ticket_id, test_id, shared, round(similarity, 9) AS similarity FROM pairs WHERE similarity >= 0.2")
 def shortlist(spark, d):
-    return coverage.shortlist(_tickets(spark, d), _tests(spark, d), 12).withColumn("similarity", F.round("similarity", 9))
+    return coverage.shortlist(_tickets(spark, d), _tests(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {_PAIRS} SELECT CASE WHEN similarity >= 0.5 THEN 'aligned' WHEN similarity >= 0.2 THEN 'partial' ELSE 'not-aligned' END AS alignment, count(*) AS n FROM pairs GROUP BY 1")
+@query(f"WITH {_PAIRS} SELECT CASE WHEN similarity >= 0.5 THEN 'aligned' WHEN similarity >= 0.2 THEN 'partial' ELSE 'not-aligned' END AS alignment, count(*) AS n FROM pairs WHERE similarity >= 0.1 GROUP BY 1")
 def alignment_counts(spark, d):
-    pairs = coverage.shortlist(_tickets(spark, d), _tests(spark, d))
+    pairs = coverage.shortlist(_tickets(spark, d), _tests(spark, d), (1, 10))
     return pairs.groupBy(coverage.alignment("similarity").alias("alignment")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_PAIRS}, m AS (SELECT ticket_id, max(similarity) AS best FROM pairs GROUP BY 1)
-    SELECT d.doc_id AS ticket_id, CASE WHEN best >= 0.5 THEN 'Covered' WHEN best >= 0.2 THEN 'Partial' WHEN lang = 'en' THEN 'Gap' ELSE 'Unknown' END AS verdict
-    FROM documents d LEFT JOIN m ON m.ticket_id = d.doc_id""")
+def _placed(spark, d):
+    """ticket_id, name of the object that it names, and that object's folder."""
+    objects, *_ = _dims(spark)
+    named = _tickets(spark, d).select("ticket_id").join(routing.match_text(_tickets(spark, d), objects).select("ticket_id", "name"), "ticket_id", "left")
+    return coverage.folders_of(named, spark.createDataFrame(FOLDERS, "widget string, folder_path string"))
+
+
+@query(f"{_ROUTED} SELECT * FROM placed")
+def widget_folder(spark, d):
+    return _placed(spark, d)
+
+
+@query(f"""{_ROUTED}, {_PAIRS}, m AS (SELECT ticket_id, max(similarity) AS best FROM pairs GROUP BY 1)
+    SELECT p.ticket_id, CASE WHEN best >= 0.5 THEN 'Covered' WHEN best >= 0.2 THEN 'Partial' WHEN folder_path IS NOT NULL THEN 'Gap' ELSE 'Unknown' END AS verdict
+    FROM placed p LEFT JOIN m ON m.ticket_id = p.ticket_id""")
 def coverage_verdict(spark, d):
-    tickets = _tickets(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("ticket_id"), "lang"), "ticket_id")
-    return coverage.verdicts(tickets, coverage.shortlist(tickets, _tests(spark, d)), F.col("lang") == "en")
+    return coverage.verdicts(_placed(spark, d), coverage.shortlist(_tickets(spark, d), _tests(spark, d)), F.col("folder_path").isNotNull())
+
+
+@query(f"""{_ROUTED}, {_PAIRS}, m AS (SELECT ticket_id, max(similarity) AS best FROM pairs GROUP BY 1),
+    g AS (SELECT p.ticket_id, p.name, split_part(d.text, chr(10), 1) AS one, split_part(d.text, chr(10), 2) AS two
+      FROM placed p JOIN documents d ON d.doc_id = p.ticket_id LEFT JOIN m ON m.ticket_id = p.ticket_id WHERE folder_path IS NOT NULL AND coalesce(best, 0) < 0.2)
+    SELECT ticket_id, 'primary' AS kind, md5('Reproduce: ' || one || ' in ' || name) AS title_md5 FROM g WHERE one <> ''
+    UNION ALL SELECT ticket_id, 'secondary', md5('Reproduce: ' || two || ' in ' || name) FROM g WHERE two <> ''""")
+def gap_drafts(spark, d):
+    """One draft for each gap, and at most one more: a ticket's first two lines are its symptoms."""
+    gaps = coverage_verdict(spark, d).where("verdict = 'Gap'").select("ticket_id")
+    told = _tickets(spark, d).select("ticket_id", F.split_part("description", F.lit("\n"), F.lit(1)).alias("symptom"), F.split_part("description", F.lit("\n"), F.lit(2)).alias("second_symptom"))
+    rows = gaps.join(_placed(spark, d).select("ticket_id", F.col("name").alias("object")), "ticket_id").join(told, "ticket_id")
+    return drafts.drafts_for(rows).select("ticket_id", "kind", F.md5("title").alias("title_md5"))
+
+
+@query(f"""WITH {_VALUES}, {_FOLDERS} SELECT name FROM folder_map WHERE NOT EXISTS (SELECT 1 FROM folders f WHERE f.folder_path = folder_map.folder_path OR starts_with(f.folder_path, folder_map.folder_path || '/'))""")
+def folder_gaps(spark, d):
+    objects = coverage.folders_of(spark.createDataFrame([(n,) for n in ("Rest", "Reer", "Onan", "Inhe")], "name string"), spark.createDataFrame(FOLDERS, "widget string, folder_path string"))
+    return coverage.untested(objects, _folders(spark, d)).select("name")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -161,15 +198,16 @@ def catalog_union(spark, d):
     return a.unionByName(table(spark, d, "pages").select((F.col("page_id") + 1000000).alias("key"), F.col("url").alias("summary")))
 
 
-# --- logs: an error carries no request of its own; it belongs to the nearest earlier event of the hour's stream ---
+# --- logs: an error carries no request of its own; it belongs to the nearest earlier event of the stream ---
 
 
 @query("""
     WITH e AS (SELECT event_id, ts, event_type, CASE WHEN event_type <> 'error' THEN user_id END AS own FROM events)
-    SELECT event_id, last_value(own IGNORE NULLS) OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS request_id, own IS NULL AS attributed FROM e""")
+    SELECT event_id, last_value(own IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS request_id, own IS NULL AS attributed FROM e""")
 def adjacent_asof(spark, d):
-    e = table(spark, d, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    out = logs.attribute(e, F.when(F.col("event_type") != "error", F.col("user_id")), ["hour"], ["ts", "event_id"])
+    """Of the whole stream; hours only deal the work out."""
+    e = table(spark, d, "events")
+    out = logs.attribute(e, F.when(F.col("event_type") != "error", F.col("user_id")), [], ["ts", "event_id"], F.date_trunc("hour", "ts"))
     return out.select("event_id", "request_id", "attributed")
 
 
@@ -199,23 +237,12 @@ def retry_gaps(spark, d):
 
 
 @query("""
-    SELECT o.o_orderkey AS ticket_id, c.o_orderkey AS change_id
-    FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') o
-    JOIN (SELECT * FROM orders WHERE o_orderkey % 50 = 0) c ON c.o_orderdate <= o.o_orderdate AND c.o_orderdate >= o.o_orderdate - INTERVAL 14 DAY""")
+    SELECT t.o_orderkey AS ticket_id, count(c.o_orderkey) AS n_changes, coalesce(sum(c.o_orderkey), 0)::BIGINT AS key_sum, coalesce(bit_xor(c.o_orderkey), 0) AS key_xor
+    FROM orders t LEFT JOIN orders c ON c.o_orderdate <= t.o_orderdate AND c.o_orderdate >= t.o_orderdate - INTERVAL 14 DAY GROUP BY 1""")
 def release_interval(spark, d):
+    """All orders as tickets and as changes; the pairs are told as a count and two digests of a ticket."""
     o = table(spark, d, "orders")
-    tickets = o.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderdate").alias("opened_ts"))
-    return logs.preceding_changes(tickets, o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("change_ts")))
-
-
-@query("""
-    WITH t AS (SELECT o_orderkey AS ticket_id, o_orderdate AS opened_ts FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')
-    SELECT ticket_id, count(c.o_orderkey) AS n_changes, coalesce(sum(c.o_orderkey), 0)::BIGINT AS key_sum, coalesce(bit_xor(c.o_orderkey), 0) AS key_xor
-    FROM t LEFT JOIN orders c ON c.o_orderdate <= opened_ts AND c.o_orderdate >= opened_ts - INTERVAL 14 DAY GROUP BY 1""")
-def release_interval_all(spark, d):
-    """All orders as changes; the pairs are told as a count and two digests of a ticket."""
-    o = table(spark, d, "orders")
-    tickets = o.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderdate").alias("opened_ts"))
+    tickets = o.select(F.col("o_orderkey").alias("ticket_id"), F.col("o_orderdate").alias("opened_ts"))
     return logs.preceding_change_counts(tickets, o.select(F.col("o_orderkey").alias("change_id"), F.col("o_orderdate").alias("change_ts")))
 
 
@@ -231,13 +258,38 @@ def bad_range(spark, d):
 # --- rules, votes, drafts, plans ---
 
 
-@query("""
-    SELECT event_id, CASE WHEN event_type = 'view' AND value < 2 THEN 'Frontend rendering' WHEN event_type = 'click' AND value > 50 THEN 'Export layer'
-      WHEN event_type = 'error' THEN 'Backend/service issue' WHEN event_type = 'signup' AND value < 5 THEN 'Data synchronization issue' END AS cause FROM events""")
+_CAUSES = ["Frontend rendering", "Mapping issue", "Export layer", "Cache/state issue", "Failed API retry loop", "Persistence issue", "Translation issue", "Aggregation mismatch", "Backend/service issue", "Data synchronization issue"]
+
+
+@query("SELECT event_id, CASE " + " ".join(f"WHEN (event_id * {7 * k + 3} + user_id) % 11 = {k} THEN '{c}'" for k, c in enumerate(_CAUSES)) + " END AS cause FROM events")
 def cause_rules(spark, d):
-    kind, v = F.col("event_type"), F.col("value")
-    flags = {"api_data_ui_empty": (kind == "view") & (v < 2), "export_empty_widget_full": (kind == "click") & (v > 50), "sql_error": kind == "error", "done_but_empty": (kind == "signup") & (v < 5)}
-    return table(spark, d, "events").select("event_id", rules.cause(flags).alias("cause"))
+    """Each of the ten symptoms is a condition of its own; several may hold, the first one counts."""
+    holds = lambda k: (F.col("event_id") * (7 * k + 3) + F.col("user_id")) % 11 == k
+    return table(spark, d, "events").select("event_id", rules.cause({name: holds(k) for k, (name, _) in enumerate(rules.CAUSES)}).alias("cause"))
+
+
+_RULES = [
+    ("severity", "P1", ["von", "here"]), ("severity", "P2", ["rest"]), ("severity", "P3", ["and", "le"]),
+    ("area", "north", ["ansh", "un"]), ("area", "south", ["ist"]),
+    ("metric", "count", ["reen"]), ("metric", "share", ["the", "edha"]),
+    ("category", "one", ["onan"]), ("category", "two", ["onin"]), ("category", "three", ["aner"]), ("category", "four", ["reer"]), ("category", "five", ["edin"]), ("category", "six", ["edre"]), ("category", "seven", ["no"]),
+]
+
+
+def _rule_sql() -> str:
+    case = lambda f: "CASE " + " ".join(f"WHEN list_has_any(w, {held}) THEN '{v}'" for g, v, held in _RULES if g == f) + " END"
+    fields = list(dict.fromkeys(f for f, _, _ in _RULES))
+    inner = ", ".join(f"{case(f)} AS {f}" for f in fields)
+    n = " + ".join(f"({f} IS NOT NULL)::INT" for f in fields)
+    return f"""WITH t AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') AS w FROM documents), c AS (SELECT doc_id, {inner} FROM t)
+        SELECT doc_id, {", ".join(f"coalesce({f}, 'unknown') AS {f}" for f in fields)}, CASE {n} WHEN {len(fields)} THEN 'High' WHEN 0 THEN 'Low' ELSE 'Medium' END AS confidence FROM c"""
+
+
+@query(_rule_sql())
+def classification(spark, d):
+    """Severity, area, metric and one of seven categories by a table of words, with a confidence."""
+    made = rules.classified(F.col("text"), _RULES)
+    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query("""
@@ -257,15 +309,29 @@ def priority_rules(spark, d):
     return table(spark, d, "customer").select("c_custkey", rules.priority(many, F.col("c_nationkey") % 2 == 1, F.col("c_acctbal") < 0).alias("level"))
 
 
-@query("SELECT r_name, count(*) AS n, sum(n)::BIGINT AS check_sum FROM region CROSS JOIN (SELECT unnest(range(1, 24)) AS n) GROUP BY 1")
+# Invented: kinds of trials of a thing, the steps and checks that all of them have.
+SCENARIOS = [("Use+", "opens"), ("Use+", "closes"), ("Use-", "refuses"), ("Looks", "colours")]
+STEPS = ["Take {object}", "Go to {domain}", "Put {object} down"]
+CHECKS = ["weight", "size"]
+_SCENARIOS = "s(n, category, scenario) AS (VALUES (1, 'Use+', 'opens'), (2, 'Use+', 'closes'), (3, 'Use-', 'refuses'), (4, 'Looks', 'colours'))"
+
+
+def _cells(spark, d):
+    things = table(spark, d, "part").select(F.col("p_brand").alias("domain"), F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("object"))
+    return drafts.scenario_matrix(things, SCENARIOS)
+
+
+@query(f"WITH {_SCENARIOS} SELECT p_brand AS domain, p_name || ' ' || p_partkey AS object, category, scenario, n AS scenario_no FROM part, s")
 def scenario_matrix(spark, d):
-    return drafts.scenario_matrix(table(spark, d, "region").select("r_name")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("scenario_no").cast("bigint")).alias("check_sum"))
+    return _cells(spark, d)
 
 
-@query("""SELECT r_name AS object, p AS priority, l AS labels, n, 19 * n AS steps FROM region CROSS JOIN (VALUES ('P2', 'sanity', 7), ('P2', 'regression', 5), ('P3', 'regression', 11)) t(p, l, n)""")
+@query(f"""WITH {_SCENARIOS}, c AS (SELECT p_brand AS domain, p_name || ' ' || p_partkey AS object, * FROM part, s)
+    SELECT 'TS-00' || n AS scenario_id, domain, object, object || ' is at hand' AS preconditions,
+      ['Take ' || object, 'Go to ' || domain, 'Put ' || object || ' down', 'Check weight', 'Check size', 'Scenario: ' || scenario] AS steps,
+      category || ': ' || scenario AS expected_result, CASE WHEN category LIKE 'Use%' THEN 'P2' ELSE 'P3' END AS priority, CASE WHEN category = 'Use+' THEN 'first' ELSE 'later' END AS labels FROM c""")
 def test_templates(spark, d):
-    cells = drafts.scenario_matrix(table(spark, d, "region").select(F.lit("main").alias("domain"), F.col("r_name").alias("object")))
-    return drafts.test_template(cells).groupBy("object", "priority", "labels").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(F.size("steps")).cast("int").alias("steps"))
+    return drafts.test_template(_cells(spark, d), STEPS, CHECKS, "Use", ("first", "later"))
 
 
 _MESSAGES = "m AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS steps, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'assistant') AS expected, min(text) FILTER (role = 'system') AS pre FROM conversations GROUP BY 1)"

@@ -1,6 +1,7 @@
 """Readers for the text formats of triage: settings, Markdown tables and sections, logs, tickets, paged replies.
 
-Readers take lines (source, line_no, value); lines_of() makes them from files.
+Readers take lines (source, line_no, value; the numbers of a source follow one
+another); lines_of() makes them from files.
 """
 
 from __future__ import annotations
@@ -8,15 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import strip
+from quarry.functions.text import TICKET_CHARS, cap, is_issue_key, strip
+from quarry.operators.carry import carried
 
 PLACEHOLDER = "PASTE_"
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """source, line_no (from 1) and value of the lines of small text files; a missing final line end is no line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", r"\r?\n\z", "").alias("value"))
-    return whole.select("source", F.posexplode(F.split("value", r"\r?\n", -1)).alias("at", "value")).select("source", (F.col("at") + 1).alias("line_no"), "value")
+    """source, line_no (from 1) and value of the lines of text files.
+
+    A file may be read in many splits: a line's number is its place in its
+    split and the lines of the splits before it, so no task sees a whole file.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).select("source", "block", before.alias("before"))
+    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "block").orderBy("id")))
+    return numbered.join(blocks, ["source", "block"]).select("source", (F.col("before") + F.col("at")).alias("line_no"), "value")
+
+
+#: Lines of a source that one window takes; what goes down from one stretch to the next is carried as a row.
+STRETCH = 1 << 16
+
+
+def _carried(lines: DataFrame, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    return carried(lines, values, ["source"], F.floor(F.col("line_no") / STRETCH), ["line_no"], inclusive)
+
+
+def fetch_issues(requests: DataFrame, issues: DataFrame, error_chars: int = 500) -> DataFrame:
+    """requests (issue_key) with raw, the issue's text from the table issues (issue_key, raw), cut like a request's, or an error.
+
+    Keys are compared stripped and in capitals. What is no key, and a key that is not there, give an error text.
+    """
+    key = F.upper(strip("issue_key"))
+    held = issues.select(F.upper(strip("issue_key")).alias("__key"), "raw").groupBy("__key").agg(F.min("raw").alias("raw"))
+    found = requests.withColumn("issue_key", key).join(held, F.col("issue_key") == F.col("__key"), "left")
+    error = F.when(~is_issue_key("issue_key"), F.concat(F.lit("not a key: "), F.coalesce("issue_key", F.lit("")))).when(F.col("__key").isNull(), F.concat(F.lit("no issue "), F.col("issue_key")))
+    return found.withColumns({"raw": cap("raw", TICKET_CHARS), "error": cap(error, error_chars)}).drop("__key")
 
 
 def read_settings(lines: DataFrame) -> DataFrame:
@@ -30,15 +59,15 @@ def read_settings(lines: DataFrame) -> DataFrame:
 
 
 def is_ready(lines: DataFrame) -> DataFrame:
-    """ready: no line, not even a comment, holds a placeholder (the launcher's gate is stricter than the reader)."""
-    return lines.agg((~F.coalesce(F.max(F.col("value").contains(PLACEHOLDER)), F.lit(False))).alias("ready"))
+    """source, ready: no line of it, not even a comment, holds a placeholder (the launcher's gate is stricter than the reader)."""
+    return lines.groupBy("source").agg((~F.coalesce(F.max(F.col("value").contains(PLACEHOLDER)), F.lit(False))).alias("ready"))
 
 
 def read_pipe_table(lines: DataFrame) -> DataFrame:
     """source, line_no and cells of the body rows of Markdown tables; a table's first row and its rule are left out."""
-    w = Window.partitionBy("source").orderBy("line_no")
     row = F.col("value").rlike(r"^\s*\|")
-    rows = lines.withColumns({"__row": row, "__prior": F.coalesce(F.lag(row).over(w), F.lit(False))}).where("__row and __prior")
+    # The line just before is a row of the table too.
+    rows = _carried(lines, {"__prior": F.coalesce(row, F.lit(False))}, inclusive=False).where(row & F.col("__prior"))
     inner = F.regexp_replace(strip("value"), r"^\||\|\z", "")
     return rows.where(~F.col("value").rlike(r"^\s*\|[\s|:-]+\z")).select("source", "line_no", F.transform(F.split(inner, r"\|", -1), strip).alias("cells"))
 
@@ -48,14 +77,13 @@ def read_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A heading carries down to the lines below it.
     """
-    w = Window.partitionBy("source").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.nullif(F.regexp_extract("value", r"^###\s+(.*?)\s*\z", 1), F.lit(""))
     folder = F.nullif(F.regexp_extract("value", r"`(/[^`]*)`", 1), F.lit(""))
-    count = F.regexp_extract("value", r"\b([0-9]+) tests?\b", 1)
-    carried = lines.withColumns({"title": F.last(head, True).over(w), "at": F.last(F.when(head.isNotNull(), F.col("line_no"))).over(w)})
-    below = Window.partitionBy("source", "title").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = carried.withColumn("folder_path", F.last(folder, True).over(below))
-    folders = rows.where("title is not null").groupBy("source", "title").agg(
+    count = F.coalesce(F.nullif(F.regexp_extract("value", r"\b([0-9]+) tests?\b", 1), F.lit("")), F.regexp_extract("value", r"(?i)^\s*[-*]\s+tests? count:\s*([0-9]+)", 1))
+    rows = _carried(lines, {"title": head, "at": F.when(head.isNotNull(), F.col("line_no")), "__folder": F.when(folder.isNotNull(), F.struct("line_no", folder.alias("path")))})
+    rows = rows.withColumn("folder_path", F.when(F.col("__folder.line_no") >= F.col("at"), F.col("__folder.path")))
+    folders = rows.where("title is not null").groupBy("source", "at").agg(
+        F.max("title").alias("title"),
         F.max("folder_path").alias("folder_path"),
         F.max(F.try_to_number(F.nullif(count, F.lit("")), F.lit("999999999")).cast("int")).alias("test_count"),
         F.max(F.col("value").contains("showing first")).alias("truncated"),
@@ -63,7 +91,7 @@ def read_sections(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     found = r"^\s*[-*]\s+([A-Z][A-Z0-9]+-[0-9]+):\s*(.*?)\s*\z"
     tests = rows.where(F.col("value").rlike(found)).select("source", F.regexp_extract("value", found, 1).alias("key"), F.regexp_extract("value", found, 2).alias("summary"), "folder_path")
-    return folders.drop("source"), tests.drop("source")
+    return folders.drop("source", "at"), tests.drop("source")
 
 
 LOG_LINE = r"^(\S+)\s+(\S+)\s+(\S+)\s+(.*)\z"
@@ -85,12 +113,11 @@ def read_log(lines: DataFrame) -> DataFrame:
 
 def read_ticket(lines: DataFrame) -> DataFrame:
     """source, fields (map of `- **Name:** value`) and sections (map from `##` heading to its text)."""
-    w = Window.partitionBy("source").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     field = r"^- \*\*(.+?):\*\*\s*(.*?)\s*\z"
     fields = lines.where(F.col("value").rlike(field)).groupBy("source", F.regexp_extract("value", field, 1).alias("k")).agg(F.max_by(F.regexp_extract("value", field, 2), "line_no").alias("v"))
     fields = fields.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("fields"))
     head = F.nullif(F.regexp_extract("value", r"^##\s+(.*?)\s*\z", 1), F.lit(""))
-    body = lines.withColumns({"h": F.last(head, True).over(w), "own": head.isNotNull()}).where("h is not null and not own and not value rlike '^- \\\\*\\\\*.+?:\\\\*\\\\*'")
+    body = _carried(lines.withColumn("own", head.isNotNull()), {"h": head}).where("h is not null and not own and not value rlike '^- \\\\*\\\\*.+?:\\\\*\\\\*'")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n")
     sections = body.groupBy("source", "h").agg(strip(text).alias("t")).groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("h", "t")))).alias("sections"))
     return lines.select("source").distinct().join(fields, "source", "left").join(sections, "source", "left")
@@ -99,13 +126,18 @@ def read_ticket(lines: DataFrame) -> DataFrame:
 PAGE = "data struct<getTests: struct<total: bigint, start: bigint, limit: bigint, results: array<struct<issueId: string, testType: struct<name: string>, jira: struct<key: string, summary: string>>>>>"
 
 
-def read_paged_tests(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each test of saved reply pages; total, start and limit beside it."""
-    page = spark.read.schema(PAGE).option("multiLine", True).json(path).select("data.getTests.*")
+def paged_tests(bodies: DataFrame) -> DataFrame:
+    """One row for each test of reply pages (value, one JSON text each); total, start and limit beside it. A page that is no such object gives none."""
+    page = bodies.select(F.from_json("value", PAGE).alias("p")).select("p.data.getTests.*")
     rows = page.select("total", "start", "limit", F.explode("results").alias("r"))
     return rows.select("total", "start", "limit", F.col("r.issueId").alias("issue_id"), F.col("r.testType.name").alias("test_type"), F.col("r.jira.key").alias("key"), F.col("r.jira.summary").alias("summary"))
 
 
+def read_paged_tests(spark: SparkSession, path: str) -> DataFrame:
+    """The tests of saved reply pages, a file each."""
+    return paged_tests(spark.read.text(path, wholetext=True))
+
+
 REQUEST = "bugId string, description string"
 
 

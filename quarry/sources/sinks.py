@@ -11,6 +11,23 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.select("ticket_id", "report").write.mode("overwrite").partitionBy("ticket_id").text(path)
 
 
+def report_lines(reports: DataFrame) -> DataFrame:
+    """file (of the form KEY-triage.md), line_no (from 1) and line of each report, for a table that holds many."""
+    rows = reports.select(F.concat(F.col("ticket_id").cast("string"), F.lit("-triage.md")).alias("file"), F.posexplode(F.split("report", "\n", -1)).alias("at", "line"))
+    return rows.select("file", (F.col("at") + 1).alias("line_no"), "line")
+
+
+def csv_rows(df: DataFrame) -> DataFrame:
+    """line: each row as a line of CSV, every column as text."""
+    return df.select(F.to_csv(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])).alias("line"))
+
+
+def from_csv_rows(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """What csv_rows made: every column text, nothing inferred."""
+    made = F.from_csv("line", ", ".join(f"`{c}` string" for c in columns))
+    return lines.select(made.alias("r")).select("r.*")
+
+
 def response_rows(df: DataFrame) -> DataFrame:
     """body: each row as one JSON object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("body"))

@@ -112,7 +112,7 @@ LOG = """2030-01-05T09:00:00Z INFO  api  request POST /v1/x/export id=q_1 range=
 def test_log(spark):
     log = readers.read_log(lines(spark, LOG))
     request = F.nullif(F.regexp_extract("msg", r"\b([a-z]_[0-9]+)\b", 1), F.lit(""))
-    log = logs.attribute(log, request, ["source"], ["ts", "line_no"]).cache()
+    log = logs.attribute(log, request, ["source"], ["ts", "line_no"], F.floor(F.col("line_no") / 2)).cache()
     assert {r["line_no"]: r["request_id"] for r in log.where("attributed").collect()} == {2: "q_1", 6: "q_2"}
     seen = logs.correlate(log).withColumn("silent", logs.is_silent_failure("status", "rows"))
     assert {r["request_id"]: r["silent"] for r in seen.collect()} == {"q_1": True, "q_2": True, "y_9": False}
@@ -171,7 +171,7 @@ def test_plan(spark):
 def test_comment(spark):
     row = (["a ", None, " "], False, ["p"], "f")
     df = spark.createDataFrame([row, (["a"], True, ["p", ""], "f")], "c array<string>, e boolean, p array<string>, f string")
-    plain, code = (r[0] for r in df.select(drafts.cause_comment("c", "e", "p", "f")).collect())
+    plain, code = (r[0] for r in df.select(drafts.cause_comment("c", "e", "p", "f", "h3. Head", "h4. Suspect code", "_foot_")).collect())
     assert "Suspect code" not in plain and "* a\n" in plain
     assert "* {{p}}" in code and "{noformat}\nf\n{noformat}" in code
 
@@ -215,22 +215,85 @@ def test_all_orders_are_changes(spark, tmp_path):
     first = datetime(2030, 1, 1, 12)
     rows = [(i, first + timedelta(hours=31 * (i % 40)), "1-URGENT" if i % 7 == 3 else "5-LOW", "P") for i in range(1, 121)] + [(500, None, "1-URGENT", "P")]
     spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r["ticket_id"]: (r["n_changes"], r["key_sum"], r["key_xor"]) for r in registry.queries()["release_interval_all"](spark, str(tmp_path)).collect()}
+    got = {r["ticket_id"]: (r["n_changes"], r["key_sum"], r["key_xor"]) for r in registry.queries()["release_interval"](spark, str(tmp_path)).collect()}
     want = {}
-    for i, opened, priority, _ in rows:
-        if priority == "1-URGENT":
-            own = [k for k, ts, _, _ in rows if opened and ts and opened - timedelta(days=14) <= ts <= opened]
-            xor = 0
-            for k in own:
-                xor ^= k
-            want[i] = (len(own), sum(own), xor)
+    for i, opened, _, _ in rows:
+        own = [k for k, ts, _, _ in rows if opened and ts and opened - timedelta(days=14) <= ts <= opened]
+        xor = 0
+        for k in own:
+            xor ^= k
+        want[i] = (len(own), sum(own), xor)
     assert got == want and any(n > 1 for n, _, _ in want.values()) and want[500] == (0, 0, 0)
 
 
+def test_carried_over_borders(spark):
+    from quarry.operators.carry import carried
+
+    rows = [("a", 1, "x"), ("a", 2, None), ("a", 7, None), ("a", 9, "y"), ("a", 30, None), ("b", 5, None), ("b", 6, "z"), (None, 3, "n"), (None, 50, None)]
+    df = spark.createDataFrame(rows, "g string, n int, v string")
+    for inclusive in (True, False):
+        out = carried(df, {"last": F.col("v")}, ["g"], F.floor(F.col("n") / 4), ["n"], inclusive)
+        want = {}
+        for g, n, _ in rows:
+            seen = [(m, v) for h, m, v in rows if h == g and v and (m <= n if inclusive else m < n)]
+            want[g, n] = max(seen)[1] if seen else None
+        assert {(r["g"], r["n"]): r["last"] for r in out.collect()} == want
+
+
+def test_shortlist_is_exact(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(0, 14)))
+    tickets, tests = [(i, text()) for i in range(60)] + [(60, None)], [(i, text()) for i in range(40)]
+    for top, bottom in ((1, 5), (1, 2), (1, 1), (1, 10)):
+        got = coverage.shortlist(spark.createDataFrame(tickets, "ticket_id int, description string"), spark.createDataFrame(tests, "test_id int, summary string"), (top, bottom)).collect()
+        want = {}
+        for i, x in tickets:
+            for j, y in tests:
+                a, b = set((x or "").split()), set(y.split())
+                if a & b and bottom * len(a & b) >= top * len(a | b):
+                    want[i, j] = len(a & b)
+        assert {(r["ticket_id"], r["test_id"]): r["shared"] for r in got} == want and want
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    text = "\n".join(f"line {i} " + "x" * (i % 97) for i in range(5000))
+    (tmp_path / "a.txt").write_text(text + "\n")
+    (tmp_path / "b.txt").write_text("one\r\n\r\nthree")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {}
+        for r in readers.lines_of(spark, str(tmp_path)).collect():
+            got.setdefault(r["source"][-5:], {})[r["line_no"]] = r["value"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [got["a.txt"][i] for i in range(1, 5001)] == text.split("\n") and len(got["a.txt"]) == 5000
+    assert got["b.txt"] == {1: "one", 2: "", 3: "three"}
+
+
+def test_leaderboard_ranges(spark):
+    rows = [(i, float(i % 7)) for i in range(100)] + [(200, 50.0)]
+    got = {r["k"]: (r["place"], r["behind"]) for r in analytics.leaderboard(spark.createDataFrame(rows, "k int, v double"), "k", "v", 5).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    places = {v: n for n, v in enumerate(sorted({v for _, v in rows}, reverse=True), 1)}
+    for n, (k, v) in enumerate(order):
+        behind = None if not n else order[n - 1][1] - v
+        assert got[k][0] == places[v] and (got[k][1] is None if behind is None else float(got[k][1]) == behind)
+
+
+def test_report_files(spark, tmp_path):
+    reports = spark.createDataFrame([("AB-1", "# a\n\nb"), ("AB-2", "c")], "ticket_id string, report string")
+    sinks.write_reports(reports, str(tmp_path / "r"))
+    assert sorted((r["ticket_id"], r["value"]) for r in spark.read.text(str(tmp_path / "r"), wholetext=True).collect()) == [("AB-1", "# a\n\nb\n"), ("AB-2", "c\n")]
+    assert [(r["file"], r["line_no"], r["line"]) for r in sinks.report_lines(reports).orderBy("file", "line_no").collect()][:3] == [("AB-1-triage.md", 1, "# a"), ("AB-1-triage.md", 2, ""), ("AB-1-triage.md", 3, "b")]
+
+
 def test_lines_without_an_order(spark, tmp_path):
     from quarry.plans import registry
 
     spark.createDataFrame([(1,), (1,), (4,), (5,), (None,), (8,)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, "1-URGENT"), (4, "5-LOW"), (8, None), (9, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    got = {r["skill"]: r["n"] for r in registry.queries()["none_label_all"](spark, str(tmp_path)).collect()}
+    got = {r["skill"]: r["n"] for r in registry.queries()["none_label"](spark, str(tmp_path)).collect()}
     assert got == {"1-URGENT": 2, "5-LOW": 1, "[None]": 3}
