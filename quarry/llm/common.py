@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import functools
 import shutil
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where nothing names one, a local session gets a temporary folder; on a
-    cluster that would be one machine's disk, so there it is an error.
+    Where nothing names one, a local session gets a folder beside its warehouse;
+    on a cluster that could be one machine's disk, so there it is an error.
     """
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="quarry-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    made = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.steps-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, made.removeprefix("file:"), ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -64,6 +66,24 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
 
 
+#: Bytes of text, and rows, that a map over Arrow batches turns into Python values at once.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of a text column (a row that is longer stands alone)."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def tidy(function):
     """A map over Arrow batches that gives its memory back at the end; a worker that is used again would keep it."""
 

@@ -168,7 +168,7 @@ def brute_lines(rows, min_docs=5, min_chars=40):
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                held.setdefault(k, []).append(i)
+                held.setdefault(k, set()).add(i)
     out = []
     for i, t in rows:
         split = (t or "").split("\n")
@@ -199,11 +199,30 @@ def test_lines_and_undo(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_lines_without_filters(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
-    rows = lined(12)
-    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.dedup_lines(docs(spark, rows)).collect())
-    assert got == brute_lines(rows)
+def test_lines_of_repeated_ids(spark):
+    line = "one line that is long enough to be counted here"
+    rows = [(1, line)] * 5 + [(2, line + "\nother")]
+    tell = lambda out: sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in out.collect())
+    assert tell(linededup.dedup_lines(docs(spark, rows))) == brute_lines(rows)
+    rows += [(3, line), (4, line), (4, line.upper()), (5, line), (5, "x")]
+    assert tell(linededup.dedup_lines(docs(spark, rows))) == brute_lines(rows)
+    # Rows without an id are one document.
+    assert sum(r["n_dropped"] for r in linededup.dedup_lines(docs(spark, [(None, line)] * 9 + [(1, line)] * 3)).collect()) == 0
+
+
+def test_lines_state_is_opened_again(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "GENERATIONS", 2)
+    rows = lined(30)
+    df = docs(spark, rows)
+    tell = lambda out: sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in out.collect())
+    path = linededup.LineDedup(spark).insert(df.where("doc_id < 10")).path
+    for at in range(10, 30, 5):  # more changes than are read side by side
+        linededup.LineDedup.open(spark, path).insert(df.where(f"doc_id >= {at} and doc_id < {at + 5}"))
+    linededup.LineDedup.open(spark, path).delete(df.where("doc_id > 24").select("doc_id"))
+    state = linededup.LineDedup.open(spark, path)
+    assert len(state.changes) <= linededup.GENERATIONS + 1
+    assert tell(state.dedup(df.where("doc_id <= 24"))) == brute_lines([r for r in rows if r[0] <= 24])
+    assert {r["refs"] for r in state.repeated().collect()} == {r["refs"] for r in linededup.LineDedup(spark).insert(df.where("doc_id <= 24")).repeated().collect()}
 
 
 def test_cuckoo_filter():
