@@ -42,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -66,6 +67,17 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
 
 
+#: What one Arrow batch may hold, and what Spark's own limits are.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": (8 << 20, ("67108864", "64MB", "67108864b")), "spark.sql.execution.arrow.maxRecordsPerBatch": (4096, ("10000",))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of 8 MB instead of 64, where the session leaves it at that: buffers of that size are held twice a task outside the heap."""
+    for key, (most, usual) in BATCH.items():
+        if spark.conf.get(key, usual[0]) in usual and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(most))
+
+
 #: Bytes of text, and rows, that a map over Arrow batches turns into Python values at once.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, discard, extended, replacing, shared_dir, slices, tidy
+from quarry.llm.common import ASCII_SPACE, discard, extended, replacing, shared_dir, slices, small_batches, tidy
 from quarry.llm.cuckoo import CuckooFilter, build
 
 #: Keys that one filter is made for; there are at least LEAST_SHARDS of them, and line keys of one shard go to SALTS places.
@@ -152,6 +152,7 @@ class LineDedup:
     """The state of line dedup over a growing and shrinking set of documents, under one path of the shared folder."""
 
     def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, path: str | None = None):
+        small_batches(spark)
         self.spark, self.min_docs, self.min_chars = spark, min_docs, min_chars
         self.path = path or f"{shared_dir(spark)}/line-dedup-{uuid.uuid4().hex}"
         self.generation, self.shards = 0, LEAST_SHARDS

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, durable, extended, replacing, tidy
+from quarry.llm.common import discard, durable, extended, replacing, slices, small_batches, tidy
 
 #: Labelled documents of each label that training reads at most; of those it reads all of the text.
 SAMPLE = 1500
@@ -184,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with a score between 0 and 1 of each whole text. The model (two dictionaries of 256 KB at most) is sent once."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rest = replacing(docs, [name])
     schema, at = extended(rest, **{name: "double"}), rest.columns.index("text")
@@ -191,11 +192,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     @tidy
     def run(batches):
         judge = sent.value.scorer()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                made = pa.array([judge((t or "").encode()) for t in batch.column(at).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
+        for batch in slices(batches, at):
+            made = pa.array([judge((t or "").encode()) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
 
     return rest.mapInArrow(run, schema)
 

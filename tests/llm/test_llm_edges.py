@@ -389,11 +389,18 @@ def test_leak_edges(spark):
     shouted = item.upper().replace(" ", "!! ")
     rows = [(1, None), (2, ""), (3, LONG), (4, "filler " * 300 + item + " more" * 500), (5, shouted), (6, item[:30]), (7, "the " * 2000), (None, item), (4, item), (8, "two words")]
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontam.leaked_pairs(docs(spark, rows).withColumn("leaks", F.lit(1)), items).collect()), key=repr)
-    assert got == sorted([(4, 1), (4, 1), (4, 1), (4, 1), (5, 1), (5, 1), (None, 1), (None, 1)], key=repr)
+    assert got == sorted([(4, 1), (4, 1), (4, 1), (4, 1), (5, 1), (5, 1), (None, 1), (None, 1), (8, 4)], key=repr)
     assert decontam.leaked_pairs(docs(spark, rows), items.limit(0)).count() == 0
     assert decontam.leaked_pairs(docs(spark, []), items).count() == 0
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "Capital of France? Paris."), (2, "日本で一番高い山は何ですか。富士山です。"), (3, "ประเทศไทยมีกี่จังหวัด เจ็ดสิบเจ็ด"), (4, "ok yes"), (5, "word " * 3000 + "at last. The end of it.")]
+    rows = [(1, "so: capital of france, Paris, it is"), (2, "Paris is the capital of a France"), (3, "前置き。日本で一番高い山は何ですか。富士山です。後書き"), (4, "山は高い。日本の富士。何ですか"), (5, "x ประเทศไทยมีกี่จังหวัด เจ็ดสิบเจ็ด y"), (6, "yes ok"), (7, "filler " * 700 + " ok, YES! " + "filler " * 900), (8, "so " + "word " * 3000 + "at last. The end of it.")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaked_pairs(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5)}
+
+
 def test_leaks_in_parts(spark, monkeypatch):
     items = spark.createDataFrame([(n, f"item {n} asks about thing{n} and place{n} near spot{n}. The answer is word{n} number{n}.") for n in range(60)], "item_id long, text string")
     rows = docs(spark, [(n, f"before item {n} asks about thing{n} and place{n} near spot{n}. The answer is word{n} number{n}. after") for n in range(60)])
