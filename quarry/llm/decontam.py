@@ -14,7 +14,9 @@ each of its terms. The pivot is the first item at which the largest weights of
 the terms whose cursors have come so far add up to 1; if the maxima of the
 blocks that hold it do too, its exact score is taken and the cursors go behind
 it, else behind the nearest end of those blocks. No item that reaches the
-threshold is passed over, and what cannot reach it is never opened. The walks of
+threshold is passed over, and what cannot reach it is never opened. Cursors run
+only for terms that are not common; the common ones, which no item owes
+REST to, lower what the others have to add up to. The walks of
 many passages go step by step at once, as arrays; a passage without a pivot
 is done.
 
@@ -56,6 +58,8 @@ SHORT = 5
 K1, B = 1.2, 0.75
 #: Postings in a block.
 BLOCK = 16
+#: What common terms may add up to in an item, of the threshold 1.
+REST = 0.9
 #: Words of the items of the first class, and how many times as long those of the next ones are.
 FIRST, CLASS = 64, 4
 #: Characters of items in one part of the index.
@@ -112,6 +116,17 @@ class Postings:
         starts = self.ends - counts
         self.most = np.zeros(size)
         np.maximum.at(self.most, term, self.weight)
+        #: Terms of many items, as long as no item gets REST or more of them together: they only add to what the other terms find.
+        self.common, self.rest = np.zeros(size, bool), 0.0
+        held = np.zeros(self.items)
+        for t in np.argsort(-counts, kind="stable").tolist():
+            own = slice(int(starts[t]), int(self.ends[t]))
+            more = held[self.item[own]] + self.weight[own]
+            if counts[t] < 2 or more.max(initial=0.0) >= REST:
+                break
+            held[self.item[own]] = more
+            self.common[t] = True
+        self.rest = float(held.max(initial=0.0))
         # Blocks begin with each term's postings anew.
         first = (np.arange(len(term)) - starts[term]) % BLOCK == 0
         self.block = np.cumsum(first) - 1
@@ -126,7 +141,16 @@ class Postings:
         return np.minimum(at, len(self.keys) - 1), there
 
     def walk(self, owner: np.ndarray, term: np.ndarray, passages: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(passage, item, score) of all that reach 1; owner and term: the distinct terms of each passage, by passage."""
+        """(passage, item, score) of all that reach 1; owner and term: the distinct terms of each passage, by passage.
+
+        Cursors run in the lists of the terms that are not common; what the common
+        ones of a passage can add at most is taken off what the others need.
+        """
+        rest = self.common[term]
+        rest_owner, rest_term, owner, term = owner[rest], term[rest], owner[~rest], term[~rest]
+        need = 1 - EPSILON - np.minimum(self.rest, np.bincount(rest_owner, self.most[rest_term], passages))
+        going = (np.bincount(owner, self.most[term], passages) >= need)[owner]
+        owner, term = owner[going], term[going]
         least = np.zeros(passages, np.int64)  # the first item that is still to be looked at
         while len(owner):
             at, there = self.seek(term, least[owner])
@@ -134,13 +158,13 @@ class Postings:
             if not len(owner):
                 return
             cursor = self.item[at]
-            order = np.lexsort((cursor, owner))
+            order = np.argsort(owner * (self.items + 1) + cursor, kind="stable")
             owner, term, cursor = owner[order], term[order], cursor[order]
             head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             length = np.diff(np.append(head, len(owner)))
             total = np.cumsum(self.most[term])
             total -= np.repeat(total[head] - self.most[term[head]], length)
-            reach = np.flatnonzero(total >= 1 - EPSILON)
+            reach = np.flatnonzero(total >= need[owner])
             mine, nth = np.unique(owner[reach], return_index=True)
             pivot = np.full(passages, -1, np.int64)
             pivot[mine] = cursor[reach[nth]]
@@ -154,8 +178,13 @@ class Postings:
             inside = owner[within]
             bound = np.bincount(inside, np.where(there, self.block_most[self.block[at]], 0.0), passages)
             score = np.bincount(inside, np.where(there & (self.item[at] == item[within]), self.weight[at], 0.0), passages)
-            opened = bound >= 1 - EPSILON
-            hits = np.flatnonzero(opened & (score >= 1 - EPSILON) & (pivot >= 0))
+            opened = (bound >= need) & (pivot >= 0)
+            hits = np.flatnonzero(opened & (score >= need))
+            if len(hits):
+                asked = np.isin(rest_owner, hits)
+                place, found = self.seek(rest_term[asked], pivot[rest_owner[asked]])
+                score += np.bincount(rest_owner[asked], np.where(found & (self.item[place] == pivot[rest_owner[asked]]), self.weight[place], 0.0), passages)
+                hits = hits[score[hits] >= 1 - EPSILON]
             if len(hits):
                 yield hits, pivot[hits], score[hits]
             # Behind the pivot if it was opened, else behind the first block that ends, or to the next cursor.
