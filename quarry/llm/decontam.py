@@ -59,7 +59,7 @@ K1, B = 1.2, 0.75
 #: Postings in a block.
 BLOCK = 16
 #: What common terms may add up to in an item, of the threshold 1.
-REST = 0.9
+REST = 0.8
 #: Words of the items of the first class, and how many times as long those of the next ones are.
 FIRST, CLASS = 64, 4
 #: Characters of items in one part of the index.
