@@ -1,15 +1,21 @@
-"""Byte-level BPE by replaying merges over the words of many documents at once.
-
-A piece of text is cut into words by the tokenizer's pattern. The distinct
-words of a run of documents are laid out one after the other, and an inverted
-index leads from each token that two neighbours would merge into to the
-positions where such a pair stands. Merges are applied in rank order; each
-touches only its two neighbours, whose new pairs enter the index. The words'
-ids are kept, so that every document is then only looked up.
+"""Byte-level BPE by replaying merges over the words of the whole corpus.
+
+Texts are cut into words by the tokenizer's pattern. Every task counts its
+words, the counts of the corpus are added up, and the merges are replayed once
+over the table of its most frequent words, part by part: the words of a part
+lie one after the other, and an inverted index leads from each token that two
+neighbours would merge into to the positions where such a pair stands. Merges
+are applied in rank order; each touches only its two neighbours, whose new pairs
+enter the index. The table of words and ids has a bounded size (TABLE_WORDS of
+at most WORD_BYTES each) and is sent to the executors, where texts are looked up;
+words that are not in it, the rare ones, are replayed in the same way where they
+stand, a run of texts at a time. Words are independent of each other, so ids
+do not depend on which words the table holds.
 
 Defined results: a null text counts as empty; an empty text has no ids; a text
 of any length is cut and encoded whole; repeated rows give repeated results;
-other columns pass through, except those named like a result column.
+other columns pass through, except those named like a result column; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import extended, replacing, tidy
+from quarry.llm.common import discard, durable, extended, replacing, slices, small_batches, tidy
 
-#: Words whose ids a worker remembers; beyond that it keeps those of the texts at hand.
-REMEMBERED = 250_000
-#: Characters of text whose words are held at once.
-RUN_CHARS = 2_000_000
+#: Words of the table that is sent out, and bytes of one of them: 64 MB with their ids at the very most.
+TABLE_WORDS, WORD_BYTES = 200_000, 64
+#: Words that a task counts before it hands the counts on.
+COUNTED = 200_000
+#: Bytes of text whose words are held at once.
+RUN_BYTES = 2 << 20
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -155,51 +164,47 @@ class MergeReplay:
 
 
 class Codec:
-    """Encodes and decodes whole texts; remembers a bounded number of words."""
+    """Encodes and decodes whole texts."""
 
     def __init__(self, lines: bytes, pattern: str):
         import regex
 
         self.cut = regex.compile(pattern)
         self.replay = MergeReplay(load_ranks(lines))
-        self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= RUN_CHARS:
+        if len(text) <= RUN_BYTES:
             yield self.cut.findall(text)
             return
         found = (m.group() for m in self.cut.finditer(text))
-        while run := list(itertools.islice(found, RUN_CHARS // 4)):
+        while run := list(itertools.islice(found, RUN_BYTES // 4)):
             yield run
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        coded = self.replay.encode_words([w.encode() for w in new])
-        self.known.update(zip(new, [c.tobytes() for c in coded], strict=True))
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        at = 0
-        while at < len(texts):
-            run, size = [], 0
-            while at < len(texts) and (not run or size + len(texts[at]) <= RUN_CHARS):
-                run.append(texts[at])
-                size += len(texts[at])
-                at += 1
-            if size > RUN_CHARS:  # one very long text
-                parts = []
-                for words in self.words(run[0]):
-                    self.learn(set(words))
-                    parts.append(b"".join([self.known[w] for w in words]))
-                yield b"".join(parts)
-                continue
-            cut = [self.cut.findall(t) for t in run]
-            self.learn(set().union(*cut))
-            known = self.known
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one replay over all of them."""
+        return [c.tobytes() for c in self.replay.encode_words([w.encode() for w in words])]
+
+    def encode_all(self, texts: list[str], table: dict[str, bytes] | None = None) -> Iterator[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers. Words of the table are looked up, the others replayed together."""
+        table = table or {}
+        if sum(map(len, texts)) <= RUN_BYTES:
+            cut = [self.cut.findall(t) for t in texts]
+            known = self._known(set().union(*cut), table)
             for words in cut:
                 yield b"".join([known[w] for w in words])
+            return
+        for text in texts:
+            parts = []
+            for words in self.words(text):
+                known = self._known(set(words), table)
+                parts.append(b"".join([known[w] for w in words]))
+            yield b"".join(parts)
+
+    def _known(self, words: set[str], table: dict[str, bytes]) -> dict[str, bytes]:
+        rest = [w for w in words if w not in table]
+        known = dict(zip(rest, self.ids_of(rest), strict=True))
+        known.update((w, table[w]) for w in words if w in table)
+        return known
 
     def decode(self, ids: bytes) -> bytes:
         token = self.replay.token
@@ -208,7 +213,7 @@ class Codec:
 
 @lru_cache(1)
 def _codec(lines: bytes, pattern: str) -> Codec:
-    """A worker process keeps its codec, and the words that it has learned, from one task to the next."""
+    """A worker process keeps the merges from one task to the next, and no words."""
     return Codec(lines, pattern)
 
 
@@ -219,26 +224,82 @@ def _sharing(spark, path: str, pattern: str) -> Callable[[], Codec]:
     return lambda: _codec(sent.value, pattern)
 
 
+def word_counts(texts: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
+    """word and how often it stands in the texts (one column) of all documents; words that are a token of their own are left out."""
+
+    @tidy
+    def run(batches):
+        coder = codec()
+        cut, ranks = coder.words, coder.replay.ranks
+        counts: Counter[str] = Counter()
+
+        def told():
+            rows = [(w, n) for w, n in counts.items() if len(e := w.encode()) <= WORD_BYTES and e not in ranks]
+            for at in range(0, len(rows), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + (1 << 14)]], t) for i, t in enumerate((pa.string(), pa.int64()))], ["word", "n"])
+            counts.clear()
+
+        for batch in slices(batches, 0):
+            for text in batch.column(0).to_pylist():
+                for words in cut(text or ""):
+                    counts.update(words)
+            if len(counts) > COUNTED:
+                yield from told()
+        yield from told()
+
+    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def replayed(words: DataFrame, codec: Callable[[], Codec]) -> DataFrame:
+    """word and ids (binary) of a table of words: the merges are replayed over each part of it at once."""
+
+    @tidy
+    def run(batches):
+        coder = codec()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.ids_of(batch.column(0).to_pylist()), pa.binary())], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids binary")
+
+
+def _table(df: DataFrame, text: str, codec: Callable[[], Codec]):
+    """The broadcast table of the corpus's most frequent words and their ids."""
+    counted = durable(word_counts(df.select(F.col(text).cast("string")), codec).withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "bpe-words")
+    # A histogram of the counts (under 1,100 classes) says from which on the words fit; of the class on the border a share by hash.
+    room, border, share = TABLE_WORDS, -1, 0.0
+    for r in counted.groupBy("class").count().orderBy(F.col("class").desc()).collect():
+        if r["count"] > room:
+            border, share = r["class"], 0.9 * room / r["count"]
+            break
+        room -= r["count"]
+    chosen = counted.where((F.col("class") > border) | ((F.col("class") == border) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20)))))
+    made = durable(replayed(chosen.repartition(F.xxhash64("word")), codec), "bpe-table")
+    rows = made.toArrow()
+    sent = df.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), rows.column("ids").to_pylist()))
+    discard(counted)
+    discard(made)
+    return sent
+
+
+def _encoder(df: DataFrame, path: str, pattern: str, text: str):
+    """A function that gives, in a Python worker, the codec and the table of words."""
+    small_batches(df.sparkSession)
+    codec = _sharing(df.sparkSession, path, pattern)
+    sent = _table(df, text, codec)
+    return lambda: (codec(), dict(zip(*sent.value, strict=True)))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """df with ids (array<int>) and n_tokens (long): its texts encoded by the ranks in the file at path."""
-    codec = _sharing(df.sparkSession, path, pattern)
     rest = replacing(df, ["ids", "n_tokens"])
+    encoder, at = _encoder(rest, path, pattern, text), rest.columns.index(text)
     schema = extended(rest, ids="array<int>", n_tokens="bigint")
 
     @tidy
     def run(batches):
-        coder = codec()
-        for batch in batches:
-            at = 0
-            coded: list[bytes] = []
-            texts = batch.column(batch.schema.get_field_index(text))
-            for ids in coder.encode_all([t or "" for t in texts.to_pylist()]):
-                coded.append(ids)
-                if sum(map(len, coded[-1:])) > 1 << 24 or len(coded) >= 512:
-                    yield _with_ids(batch.slice(at, len(coded)), coded)
-                    at, coded = at + len(coded), []
-            if coded:
-                yield _with_ids(batch.slice(at, len(coded)), coded)
+        coder, table = encoder()
+        for batch in slices(batches, at, RUN_BYTES):
+            yield _with_ids(batch, list(coder.encode_all([t or "" for t in batch.column(at).to_pylist()], table)))
 
     return rest.mapInArrow(run, schema)
 
@@ -253,19 +314,19 @@ def _with_ids(batch: pa.RecordBatch, coded: list[bytes]) -> pa.RecordBatch:
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """df with decoded (binary): the bytes its id lists stand for; null ids count as none."""
+    small_batches(df.sparkSession)
     codec = _sharing(df.sparkSession, path, pattern)
     rest = replacing(df, ["decoded"])
-    schema = extended(rest, decoded="binary")
+    schema, at = extended(rest, decoded="binary"), rest.columns.index(ids)
 
     @tidy
     def run(batches):
         coder = codec()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows = batch.column(batch.schema.get_field_index(ids))
-                made = [coder.decode(np.asarray(r.values.to_numpy(zero_copy_only=False), "<u4").tobytes()) if r.is_valid else b"" for r in rows]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "decoded"])
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
+                made = [coder.decode(np.asarray(r.values.to_numpy(zero_copy_only=False), "<u4").tobytes()) if r.is_valid else b"" for r in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], schema.names)
 
     return rest.mapInArrow(run, schema)
 
@@ -274,18 +335,17 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and its ids decoded again."""
     import hashlib
 
-    codec = _sharing(df.sparkSession, path, pattern)
+    rows = df.select(F.col("doc_id").cast("bigint"), "text")
+    encoder = _encoder(rows, path, pattern, "text")
 
     @tidy
     def run(batches):
-        coder = codec()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows = []
-                for ids in coder.encode_all([t or "" for t in batch.column(1).to_pylist()]):
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-                n, a, b = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        coder, table = encoder()
+        for batch in slices(batches, 1, RUN_BYTES):
+            out = []
+            for ids in coder.encode_all([t or "" for t in batch.column(1).to_pylist()], table):
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
+            n, a, b = map(list, zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

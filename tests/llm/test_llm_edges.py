@@ -251,6 +251,28 @@ def test_merge_replay_orders_by_rank():
     assert [g.tolist() for g in got] == [enc.encode_ordinary(w) for w in words]
 
 
+def test_words_of_the_corpus(spark, monkeypatch):
+    """Counts are those of the whole corpus, the table holds its most frequent words, and ids do not depend on it."""
+    import regex
+    from collections import Counter
+
+    path, pattern = tokenizer()
+    texts = [" ".join("w" + "abcdefg"[k % 7] * 3 + "hijklmnopqr"[k % 11] * 3 for k in range(n)) for n in range(60)] + ["y" * 500 + " zzq", None]
+    df = docs(spark, list(enumerate(texts)))
+    codec = bpe._sharing(spark, path, pattern)
+    got = {r["word"]: r["n"] for r in bpe.word_counts(df.select("text"), codec).collect()}
+    ranks = bpe.load_ranks(open(path, "rb").read())
+    want = Counter(w for t in texts for w in regex.findall(pattern, t or ""))
+    assert got == {w: n for w, n in want.items() if w.encode() not in ranks and len(w) <= bpe.WORD_BYTES} and "y" * 500 not in got
+    whole = sorted(map(tuple, bpe.digests(df, path, pattern).collect()))
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 30)
+    monkeypatch.setattr(bpe, "COUNTED", 2)
+    held = set(bpe._table(df, "text", codec).value[0])
+    of = lambda w: int(np.floor(np.log2(got[w]) * 16))
+    assert 0 < len(held) <= 30 and min(map(of, held)) >= max(of(w) for w in got if w not in held)
+    assert sorted(map(tuple, bpe.digests(df, path, pattern).collect())) == whole
+
+
 # --- 5 ---
 
 
