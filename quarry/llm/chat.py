@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import running
+
 # Fixed values of the template.
 OPEN, CLOSE, NEXT = "<turn>", "\n</turn>\n", "\n<next>\n"
 CONTROL = "</?turn>|<next>"
@@ -91,17 +93,9 @@ def format_chats(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
         return F.flatten(inner)
 
     laid = merged_messages(sorted_turns(df)).select("conv_id", F.flatten(F.transform("messages", pieces)).alias("__pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walk = F.aggregate(
-        "__pieces",
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.char_length(p["text"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return laid.select("conv_id", F.array_join(F.transform("__pieces", lambda p: p["text"]), "").alias("formatted"), walk.alias("loss_spans"))
+    laid = laid.withColumn("__before", running(F.transform("__pieces", lambda p: F.char_length(p["text"]).cast("bigint"))))
+    spans = F.transform(F.filter(F.arrays_zip("__pieces", "__before"), lambda z: z["__pieces"]["loss"]), lambda z: F.struct(z["__before"].cast("int").alias("start"), F.char_length(z["__pieces"]["text"]).alias("length")))
+    return laid.select("conv_id", F.array_join(F.transform("__pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:

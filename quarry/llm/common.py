@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,21 @@ def extended(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in columns.items())])
 
 
+def let(c: Column, f) -> Column:
+    """f of c, which is made once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def running(lengths: Column) -> Column:
+    """The sums of all lengths before each place, in blocks of about the square root of their number."""
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    block = lambda l: F.greatest(F.ceil(F.sqrt(F.size(l))).cast("int"), F.lit(1))
+    sums = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m["l"]) - 1) / m["b"]).cast("int")), lambda j: add(F.slice(m["l"], j * m["b"] + 1, m["b"])))
+    before = lambda m, i: add(F.slice(m["s"], 1, F.floor(i / m["b"]).cast("int"))) + add(F.slice(m["l"], F.floor(i / m["b"]).cast("int") * m["b"] + 1, i % m["b"]))
+    with_block = lambda l: let(F.struct(l.alias("l"), block(l).alias("b")), lambda m: let(F.struct(m["l"].alias("l"), m["b"].alias("b"), sums(m).alias("s")), lambda k: F.transform(k["l"], lambda _, i: before(k, i))))
+    return let(lengths, with_block)
+
+
 #: What one Arrow batch may hold, and what Spark's own limits are.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": (8 << 20, ("67108864", "64MB", "67108864b")), "spark.sql.execution.arrow.maxRecordsPerBatch": (4096, ("10000",))}
 

@@ -83,10 +83,11 @@ ORACLES: dict[str, str] = {
         m AS (
           SELECT page_id, max_by(h || r.p, length(h || r.p)) AS rule, max_by(v, length(h || r.p)) AS v
           FROM p JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id),
-        b AS (SELECT page_id, regexp_extract(host, '(?:^|\.)((?:cheap-pills|spam-farm|free-casino|online-casino|win-prize|hot-deals|adult-videos))\.', 1) AS hit FROM p)
-        SELECT p.page_id, p.host, p.path, m.rule, CASE WHEN hit <> '' THEN replace(hit, '-', ' ') END AS pattern,
-               coalesce(m.v, CASE WHEN hit <> '' THEN 'block' ELSE 'allow' END) AS verdict
-        FROM p JOIN b USING (page_id) LEFT JOIN m USING (page_id)""".replace("\\\\.", "\\."),
+        b AS (
+          SELECT page_id, list_min(list_filter(string_split(host, '.')[:-2], lambda l: regexp_full_match(l, '(PAIRS)'))) AS hit FROM p)
+        SELECT p.page_id, p.host, p.path, m.rule, replace(hit, '-', ' ') AS pattern,
+               coalesce(m.v, CASE WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p JOIN b USING (page_id) LEFT JOIN m USING (page_id)""".replace("PAIRS", f"(?:{'|'.join(urlrules.SPAM_FIRST.split())})-(?:{'|'.join(urlrules.SPAM_SECOND.split())})"),
     "op3_chat_formatting": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

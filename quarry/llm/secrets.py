@@ -33,7 +33,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, durable
+from quarry.llm.common import discard, durable, running
 
 # Names of secrets, words that speak against one, words of a small dictionary, words of paths.
 KEY_WORDS = "token secret key apikey password passwd pwd auth credential credentials bearer private access signature"
@@ -64,21 +64,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def _let(c: Column, f) -> Column:
-    """f of c, which is made once however often f names it."""
-    return F.transform(F.array(c), f)[0]
-
-
-def _running(lengths: Column) -> Column:
-    """The sums of all lengths before each place, in blocks of about the square root of their number."""
-    add = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    block = lambda l: F.greatest(F.ceil(F.sqrt(F.size(l))).cast("int"), F.lit(1))
-    sums = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m["l"]) - 1) / m["b"]).cast("int")), lambda j: add(F.slice(m["l"], j * m["b"] + 1, m["b"])))
-    before = lambda m, i: add(F.slice(m["s"], 1, F.floor(i / m["b"]).cast("int"))) + add(F.slice(m["l"], F.floor(i / m["b"]).cast("int") * m["b"] + 1, i % m["b"]))
-    with_block = lambda l: _let(F.struct(l.alias("l"), block(l).alias("b")), lambda m: _let(F.struct(m["l"].alias("l"), m["b"].alias("b"), sums(m).alias("s")), lambda k: F.transform(k["l"], lambda _, i: before(k, i))))
-    return _let(lengths, with_block)
-
-
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start (code points from 0), value, before (the words in front, name and sign), after and path of each candidate."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -90,7 +75,7 @@ def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     n = F.size("found")
     rows = rows.select("doc_id", "path", "found", F.slice("gaps", 1, n).alias("gap"), F.slice("gaps", 2, n).alias("following"))
     lengths = F.zip_with("gap", "found", lambda g, m: (F.char_length(g) + F.char_length(m)).cast("bigint"))
-    rows = rows.withColumn("before", _running(lengths))
+    rows = rows.withColumn("before", running(lengths))
     # Each candidate takes only what lies beside it along.
     one = F.transform(F.arrays_zip("found", "gap", "following", "before"), lambda c: F.struct((c["before"] + F.char_length(c["gap"])).alias("at"), c["found"].alias("match"), _tail(c["gap"]).alias("gap"), _head(c["following"]).alias("following")))
     rows = rows.select("doc_id", "path", F.explode(one).alias("c")).select("doc_id", "path", "c.*")

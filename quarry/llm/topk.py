@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import small_batches, tidy
+
 CANDIDATES = 2048
 QUERIES = 8192
 GROUP = 4  # candidate blocks that share a join key
@@ -59,16 +61,13 @@ def _pack(rows: DataFrame, blocks: int, label: str) -> DataFrame:
         ids = t.column("id").to_numpy()
         flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         v = flat.reshape(len(ids), dims)
-        order = np.lexsort((*v.T[::-1], ids))
-        ids, v = ids[order], v[order]
-        last = np.append((ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1), True)  # rows that are wholly equal count once
-        ids, v = ids[last], v[last]
         most = np.abs(v).max(initial=0)
         kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
         data = np.ascontiguousarray(v.T.astype(kind)).tobytes()
         return pa.table({"dims": pa.array([dims], pa.int32()), label: pa.array([t.column("block")[0].as_py()], pa.int32()), f"{label}_ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), f"{label}_kind": pa.array([kind]), f"{label}_data": pa.array([data], pa.binary())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # Equal rows meet in the tasks that read them first, and an id with very many vectors is spread over all blocks.
+    dealt = rows.distinct().withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("dims", "block").applyInArrow(one, f"dims int, {label} int, {label}_ids binary, {label}_kind string, {label}_data binary")
 
 
@@ -78,14 +77,14 @@ class _Best:
     __slots__ = ("ids", "k", "least", "scores")
 
     def __init__(self, k: int):
-        self.k, self.ids, self.scores, self.least = k, np.empty(0, np.int64), np.empty(0), -np.inf
+        self.k, self.ids, self.scores, self.least = k, np.empty(0, np.int64), np.empty(0, np.int64), -np.inf
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
         order = np.lexsort((ids, -scores))[: self.k]
         self.ids, self.scores = ids[order], scores[order]
         if len(order) == self.k:
-            self.least = scores[order[-1]]
+            self.least = float(self.scores[-1])
 
 
 def search_block(best: _Best, qid: int, q: np.ndarray, ids: np.ndarray, columns: np.ndarray, squares: np.ndarray) -> None:
@@ -115,18 +114,26 @@ def search_block(best: _Best, qid: int, q: np.ndarray, ids: np.ndarray, columns:
         if len(score) > 4 * best.k:  # all that reach the k-th, ties included
             kth = np.partition(score, len(score) - best.k)[len(score) - best.k]
             score, found = score[score >= kth], found[score >= kth]
-        best.add(found, score)
-
-
-def _exact(q: np.ndarray, ids: np.ndarray, columns: np.ndarray, qid: int, k: int):
-    """For numbers whose products doubles cannot hold: Python integers, no bounds."""
+        best.add(found, score.astype(np.int64))
+
+
+def search_wide(best: _Best, qid: int, q: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
+    """For numbers whose products doubles cannot hold: bounds from doubles with their error, whole numbers for what they leave."""
+    far = max(np.frexp(np.abs(q).max(initial=0))[1] + np.frexp(np.abs(columns).max(initial=0))[1] - 900, 0)
+    near = np.ldexp(columns, -int(far))
+    score, error = q @ near, (np.abs(q) @ np.abs(near)) * (len(q) + 2) * 2.0**-51
+    other = np.flatnonzero(ids != qid)
+    low = score[other] - error[other]
+    kth = np.partition(low, len(low) - best.k)[len(low) - best.k] if len(low) > best.k else -np.inf
+    left = other[score[other] + error[other] >= kth]
     whole = [int(x) for x in q]
-    rows = sorted((-max(-LONG, min(LONG, sum(a * int(b) for a, b in zip(whole, c, strict=True)))), int(i)) for i, c in zip(ids, columns.T, strict=True) if i != qid)
-    return [(i, -s) for s, i in rows[:k]]
+    exact = [max(-LONG, min(LONG, sum(a * int(b) for a, b in zip(whole, columns[:, c].tolist(), strict=True)))) for c in left.tolist()]
+    best.add(ids[left], np.array(exact, np.int64))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, the candidate's id and score: the k highest inner products of each query with other rows of df."""
+    small_batches(df.sparkSession)
     rows, asked = scaled(df, scale, ids, vector), scaled(queries, scale, ids, vector)
     sizes = rows.groupBy().count().first()[0], asked.groupBy().count().first()[0]
     blocks, groups = (max(1, -(-n // m)) for n, m in zip(sizes, (CANDIDATES, QUERIES), strict=True))
@@ -135,6 +142,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ids
     wanted = wanted.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // GROUP))))
     pairs = dealt.join(wanted, ["dims", "q", "g"]).select("dims", "q_ids", "q_kind", "q_data", "c_ids", "c_kind", "c_data")
 
+    @tidy
     def run(batches):
         best: dict[tuple[int, int], _Best] = {}
         for batch in batches:
@@ -150,12 +158,11 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, ids
                     if small:
                         search_block(mine, qid, np.ascontiguousarray(q[n]), ci, c, squares)
                     else:
-                        for i, s in _exact(q[n], ci, c, qid, k):
-                            yield _rows([qid], [i], [s])
+                        search_wide(mine, qid, q[n], ci, c)
         flat = [(qid, b) for (_, qid), b in best.items() if len(b.ids)]
         for at in range(0, len(flat), 1024):
             part = flat[at : at + 1024]
-            yield _rows(np.repeat([qid for qid, _ in part], [len(b.ids) for _, b in part]), np.concatenate([b.ids for _, b in part]), np.concatenate([b.scores for _, b in part]).astype(np.int64))
+            yield _rows(np.repeat([qid for qid, _ in part], [len(b.ids) for _, b in part]), np.concatenate([b.ids for _, b in part]), np.concatenate([b.scores for _, b in part]))
 
     found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

@@ -11,7 +11,8 @@ Of the host rules that fit, the longest decides; without one, the pattern rules
 do (any that fits blocks); without any, the URL is allowed.
 
 The rules are the caller's list. They are sent to the executors in blocks of
-bounded size, one pass for each block, so their number is not limited.
+bounded size, one pass for each block; what a pass found is written before the
+next one begins, so no more than one block is held.
 
 Defined results: a null URL or one without `://` has an empty host and path and
 fits no rule; A-Z in hosts count as a-z, paths keep their case; repeated rows
@@ -31,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import extended, replacing
+from quarry.llm.common import durable, extended, replacing, tidy
 
 #: Characters of rules that one pass sends to the executors.
 BLOCK_CHARS = 16 << 20
 TOKEN = r"[a-z0-9]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Words that, joined by a hyphen, make labels of hosts that sell or spam.
+SPAM_FIRST = "adult best bulk buy cheap crypto diet discount fast fat free fresh hot instant lucky mega online spam super win"
+SPAM_SECOND = "bet bonus casino cash coins deals farm followers gifts loans lottery meds offers pills poker prize replica slots videos watches"
 
 
 @dataclass(frozen=True)
@@ -51,7 +56,7 @@ class Rule:
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """The rule for a host, its subdomains, and the paths that start with path."""
-    host = host.lower()
+    host = host.translate(LOWER)
     # A prefix's last token may go on in the URL; only tokens that end within the prefix are sure.
     sure = re.findall(TOKEN, host) + re.findall(rf"{TOKEN}(?=[^A-Za-z0-9])", path.lower())
     return Rule(host + path, verdict, rf"(?:[^/?#]*\.)?{re.escape(host)}(?![^/]){re.escape(path)}", tuple(dict.fromkeys(sure)), len(host) + len(path))
@@ -63,10 +68,8 @@ def pattern_rule(name: str, pattern: str, tokens: Iterable[str]) -> Rule:
 
 
 def default_patterns() -> list[Rule]:
-    """Hosts that sell or spam, by words in their names: a label of the host that joins the two words of a rule by - or nothing more."""
-    # Pairs of words that name such hosts.
-    pairs = ("cheap pills", "spam farm", "free casino", "online casino", "win prize", "hot deals", "adult videos")
-    return [pattern_rule(p, rf"(?:[^/?#]*\.)?{a}-{b}\.", (a, b)) for p in pairs for a, b in [p.split()]]
+    """A rule for each pair of a first and a second word: it blocks hosts one of whose labels, not the last, is just the two joined by a hyphen."""
+    return [pattern_rule(f"{a} {b}", rf"(?:[^/?#]*\.)?{a}-{b}\.", (a, b)) for a in SPAM_FIRST.split() for b in SPAM_SECOND.split()]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -80,7 +83,8 @@ def parts(url: Column) -> tuple[Column, Column]:
 def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
     """In how many URLs each of the rules' tokens stands (a table no longer than the rules)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit(f"({TOKEN})"), 1))
-    held = urls.select(F.explode(F.array_intersect(found, F.array(*map(F.lit, tokens)))).alias("token")) if len(tokens) <= 1000 else urls.select(F.explode(found).alias("token")).join(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string"), "token", "left_semi")
+    wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    held = urls.select(F.explode(found).alias("token")).join(wanted, "token", "left_semi")
     return {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
 
 
@@ -113,8 +117,8 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     out = out.withColumns({"host": host, "path": path})
     index = filed(rules, token_counts(out, sorted({t for r in rules for t in r.tokens})))
     out = out.withColumns({"__rule": F.lit(None).cast("string"), "__length": F.lit(-1), "__verdict": F.lit(None).cast("string"), "__pattern": F.lit(None).cast("string")})
-    for block in _blocks(index):
-        out = _pass(out, block)
+    for nth, block in enumerate(_blocks(index)):
+        out = _pass(durable(out, "url-rules") if nth else out, block)
     verdict = F.coalesce("__verdict", F.when(F.col("__pattern").isNotNull(), "block"), F.lit("allow"))
     made = out.select(*[c for c in out.columns if not c.startswith("__")], F.col("__rule").alias("rule"), F.col("__pattern").alias("pattern"), verdict.alias("verdict"))
     return made
@@ -127,6 +131,7 @@ def _pass(df: DataFrame, block: dict[str, list[Rule]]) -> DataFrame:
     h, p = df.columns.index("host"), df.columns.index("path")
     own = [df.columns.index(c) for c in ("__rule", "__length", "__verdict", "__pattern")]
 
+    @tidy
     def run(batches):
         index = {t: [(n, v, re.compile(x), k) for n, v, x, k in rs] for t, rs in json.loads(sent.value).items()}
         always, token = index.get("", []), re.compile(TOKEN)

@@ -217,6 +217,12 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_many_turns_in_one_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"é{t}") for t in range(20_000)]
+    r = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]] == [f"é{t}" for t in range(1, 20_000, 2)]
+
+
 # --- 4 ---
 
 
@@ -470,6 +476,34 @@ def test_url_rules_in_blocks(spark, monkeypatch):
     assert urlrules.judge(df.limit(0), rules).count() == 0
 
 
+def test_random_rules_against_brute_force(spark):
+    import random
+
+    rng = random.Random(23)
+    words = ["a", "bb", "free", "casino", "x1", "é"]
+    label = lambda: rng.choice([rng.choice(words), "-".join(rng.choice(words) for _ in range(2))])
+    host = lambda n: ".".join(label() for _ in range(rng.randint(1, n))) + "." + rng.choice(["com", "net"])
+    path = lambda: "/" + "/".join(rng.choice(words) for _ in range(rng.randint(0, 3)))
+    given = sorted({(host(2), path(), rng.choice(["block", "allow"])) for _ in range(300)})
+    given = [g for n, g in enumerate(given) if not any(g[:2] == h[:2] for h in given[:n])]
+    pairs = [(a, b) for a in words[:5] for b in words[:5]]
+    rules = [urlrules.host_rule(*g) for g in given] + [urlrules.pattern_rule(f"{a} {b}", rf"(?:[^/?#]*\.)?{a}-{b}\.", (a, b)) for a, b in pairs]
+    urls = [rng.choice(["http://", "x://", ""]) + rng.choice([str.upper, str])(host(4)) + path() + rng.choice(["", "?q=/a", "#f"]) for _ in range(800)]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r["page_id"]: (r["rule"], r["pattern"], r["verdict"]) for r in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    blocked = 0
+    for n, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        at = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        h, p = rest[:at].translate(lower), rest[at:].split("?")[0].split("#")[0]
+        fits = [(len(x + y), x + y, v) for x, y, v in given if (h == x or h.endswith("." + x)) and p.startswith(y)]
+        spam = min((f"{a} {b}" for a, b in pairs if f"{a}-{b}" in h.split(".")[:-1]), default=None)
+        best = max(fits, default=None)
+        assert got[n] == (best and best[1], spam, best[2] if best else "block" if spam else "allow"), url
+        blocked += got[n][2] == "block"
+    assert 50 < blocked < 750
+
+
 # --- 9 ---
 
 
