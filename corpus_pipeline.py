@@ -14,7 +14,8 @@ All but the last return the columns of documents.
 
 Nulls: a null text counts as empty in every stage. Rows without an id take part
 in stages 1, 2, 4 and 5, and stay in stage 3 if nothing links to them. Rows
-that share an id share their fate. An empty table passes through empty.
+that share an id share their fate. An empty table passes through empty. Columns
+of documents that are named like an operator's own pass through as they came.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that they repeat; n_chars, where there is one, follows the text."""
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(_aside(docs, "n_lines", "n_dropped"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return _back(out, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +52,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    out = decontam.find_leaks(_aside(docs, "leaks"), table(spark, sf_dir, "benchmark"))
+    return _back(out.where(F.size("leaks") == 0), docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of each document."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "ids", "n_tokens")
+    return bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "ids", "n_tokens")
+
+
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with the caller's columns of these names (in any case) under others, so that an operator's own do not replace them."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c.lower() in names})
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, in their order."""
+    return out.select([F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in out.columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [
