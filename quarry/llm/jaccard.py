@@ -15,14 +15,15 @@ sets link if it is at most THETA = 1 - threshold.
    groups; groups are mostly families of near copies, and no link crosses from
    one to another. Groups of more than two are parted again, by the shingles that
    are rare in them.
-3. Within a group pivots are sets. A pivot's distance to each set of the group
-   is taken; sets within THETA link to it. A set is settled once it is linked
-   to some pivot and every pivot within 2 THETA of it is in its component: by
-   the triangle inequality a set that links to it is within 2 THETA of the
-   pivot that set belongs to. Sets that are not settled lie on a border between
-   regions; they become the next pivots, and so on until none is left.
-   Groups that a task can hold are settled there; larger ones by rounds over
-   the whole cluster, a few pivots a round, with the same rule.
+3. Regions. Within a group pivots are sets, drawn from it. Each set goes to the
+   Voronoi region of its nearest pivot (or to the rest, if all are far), and as a replica to every region whose
+   pivot is no more than 2 THETA farther: by the triangle inequality whatever links
+   to it meets it there. Sets within THETA of a pivot link to it. A set is settled
+   once it is linked to some pivot and every pivot within 2 THETA of it is in its
+   component: a set that links to it is within 2 THETA of the pivot that set
+   belongs to. Regions with sets that are not settled are joined in the same way,
+   with pivots of their own, until a task can hold them. There the pivots go
+   one by one, with the same rule, which joins the region exactly.
 
 Pivots drawn from the corpus alone would not do for step 2: random texts share
 next to no shingles, so all distances are near 1 and every window would hold
@@ -32,7 +33,8 @@ Defined results: a null text, or one without words, has an empty set and links
 with nothing; a text with fewer words than a shingle has one shingle, its whole
 sequence; repeated rows and copies share a component; a null id is ignored when
 the smallest id of a component is sought, and a set that only rows without an
-id hold links with nothing; empty tables give empty results;
+id hold links with nothing; empty tables give empty results; shingles are told
+apart by 64 bits, sets by 128, and the sets of one group, links among them included, by 64;
 columns other than doc_id and text are not read.
 """
 
@@ -48,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, durable, tidy
+from quarry.llm.common import discard, durable, slices, tidy
 from quarry.llm.components import components
 from quarry.llm.cuckoo import CuckooFilter, build
 
@@ -60,13 +62,17 @@ HELD = 1 << 19
 DEVIATIONS = 3
 #: Bits of the table in which shingles are counted, by the number of documents; a bucket is heavy if so many deviations over the mean.
 COUNT_BITS, HEAVY = (16, 22), 8
-#: Shingles of a group that one task settles.
-GROUP_SHINGLES = 4_000_000
+#: Shingles of a region that one task settles.
+GROUP_SHINGLES = 1_000_000
 #: Filters of ids of up to this size are sent to all executors, in so many parts.
 SCREEN_BYTES = 64 << 20
 SCREEN_SHARDS = 16
-#: Pivots of a larger group in one round.
+#: Pivots of a larger region in the first round; each later round takes twice as many.
 PIVOTS = 64
+#: Places over which a region's sets are dealt; regions that one set may lie in or near.
+SALTS, WINDOWS = 32, 64
+#: Stands for a pivot: the region of the sets that are far from all pivots.
+REST = -1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,8 +125,9 @@ def _classes(m: Measure, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         low = following
 
 
-#: Odd factors, one for each word of a shingle: the fractional parts of square roots of primes, in 64 bits.
-FACTORS = np.array([int(np.floor((p**0.5 % 1) * 2**52)) << 12 | 1 for p in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53)], np.uint64)
+def factor(k: int) -> np.uint64:
+    """The odd factor of a shingle's word k, another one for each."""
+    return mix(np.array([k + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
 
 
 class Shingler:
@@ -151,12 +158,12 @@ class Shingler:
         padded = np.concatenate([coded, np.zeros(width, np.uint64)])
         every = np.zeros(len(coded), np.uint64)
         for k in range(width):
-            every += padded[k : k + len(coded)] * FACTORS[k % len(FACTORS)] + np.uint64(k)
+            every += padded[k : k + len(coded)] * factor(k)
         hashes = mix(every)[at]
         for row in np.flatnonzero((lengths > 0) & (lengths < width)):  # a whole short text as one
             value = lengths[row : row + 1].astype(np.uint64)
             for word in coded[begin[row] : begin[row] + lengths[row]]:
-                value = mix(value * FACTORS[0] + word)
+                value = mix(value * factor(0) + word)
             hashes[np.searchsorted(owner, row)] = value[0]
         ends = np.cumsum(counts)
         for first, last in zip((ends - counts).tolist(), ends.tolist(), strict=True):
@@ -617,45 +624,128 @@ def _settle_small(sets: DataFrame, m: Measure) -> DataFrame:
     return sets.repartition("root").sortWithinPartitions("root").mapInArrow(run, "digest binary, component_id bigint")
 
 
-def _settle_large(sets: DataFrame, m: Measure, pivots: int) -> DataFrame:
-    """The same for groups that no task should hold: rounds of pivots over all their sets."""
+NEAR = "array<struct<pivot:bigint,linked:boolean>>"
+
+
+def _to_pivots(rows: DataFrame, chosen: DataFrame, m: Measure) -> DataFrame:
+    """rows (region, digest, node, hashes, near, done) with home, the nearest pivot, and windows, the pivots whose regions the set lies in or near.
+
+    A set whose nearest pivot is so far that its window would reach pivots which share no shingle with it
+    belongs to the rest, a region of its own; sets not more than THETA nearer lie there too, as what links
+    to a set is at most THETA nearer to any pivot. near gains the pivots within 2 THETA, done is true for those that were pivots. A region's sets are
+    dealt over SALTS places, to each of which its pivots go ahead of them, so that a region of any size is
+    spread; a task holds one region's pivots at a time, under an index from shingle to pivot.
+    """
+    own = ["region", "salt", "pivot", "digest", "node", "hashes", "near", "done"]
+    sent = chosen.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "pivot": F.lit(True)}).select(own)
+    dealt = rows.withColumns({"salt": F.pmod(F.col("node"), F.lit(SALTS)).cast("int"), "pivot": F.lit(False)}).select(own)
+    met = sent.unionByName(dealt).repartition("region", "salt").sortWithinPartitions("region", "salt", ~F.col("pivot"))
+    theta = (m.bottom - m.top) / m.bottom
+    far = 1 - 2 * theta - 1e-6
+    schema = f"region bigint, digest binary, node bigint, hashes binary, near {NEAR}, done boolean, home bigint, windows array<bigint>, n_windows bigint"
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.struct([("pivot", pa.int64()), ("linked", pa.bool_())])), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+
+    @tidy
+    def run(batches):
+        place, ahead, index = None, [], None
+        for batch in slices(batches, own.index("hashes")):
+            out = []
+            for region, salt, pivot, digest, node, raw, near, done in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != (region, salt):
+                    place, ahead, index = (region, salt), [], None
+                if pivot:
+                    ahead.append((node, np.frombuffer(raw, np.uint64)))
+                    continue
+                if index is None:
+                    index = Pivots(ahead)
+                common, size = index.common(hashes := np.frombuffer(raw, np.uint64)), len(hashes)
+                if not len(index.nodes):  # none was drawn here: the set waits for the next round
+                    out.append((region, digest, node, raw, near, done, None, [], WINDOWS + 1))
+                    continue
+                distance = 1 - common / (size + index.sizes - common)
+                itself = index.nodes == node
+                close = np.flatnonzero(m.linked(common, size, index.sizes, 2) & ~itself)
+                linked = m.linked(common[close], size, index.sizes[close])
+                near = [*near, *({"pivot": p, "linked": x} for p, x in zip(index.nodes[close].tolist(), linked.tolist(), strict=True))]
+                least = distance.min()
+                # Beyond `far` a window would hold the pivots that share nothing with the set: such sets are the rest's.
+                window = index.nodes[distance <= least + 2 * theta + 1e-9].tolist() if least <= far else []
+                window += [REST] if least > far - theta - 1e-9 else []
+                home = int(index.nodes[np.argmin(distance)]) if least <= far else REST
+                out.append((region, digest, node, raw, near, done or bool(itself.any()), home, window if len(window) <= WINDOWS else [], len(window)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema=pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds, strict=True))))
+
+    return met.mapInArrow(run, schema)
+
+
+class Pivots:
+    """The pivots of a region under an index from shingle to pivots."""
+
+    def __init__(self, pivots: list[tuple[int, np.ndarray]]):
+        self.nodes = np.array([n for n, _ in pivots], np.int64)
+        self.sizes = np.array([len(s) for _, s in pivots], np.int64)
+        flat = np.concatenate([s for _, s in pivots]) if pivots else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owner = flat[order], np.repeat(np.arange(len(pivots)), self.sizes)[order]
+
+    def common(self, hashes: np.ndarray) -> np.ndarray:
+        """How many shingles a set has in common with each pivot."""
+        first, last = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[at], minlength=len(self.nodes))
+
+
+def _settle_large(sets: DataFrame, m: Measure, leaf: int, pivots: int) -> DataFrame:
+    """digest and component_id of groups that no task should hold, by recursion over the cluster.
+
+    Each region gets pivots, drawn from its sets; every set of it goes to the region of the nearest one and
+    to those that its window reaches. A region in which every set is settled is done, one that a task can
+    hold is settled there, the others get pivots of their own. Where windows reach so far that
+    regions would overlap more than twofold, the region stays whole for a round with twice the pivots.
+    """
     sets = durable(sets.dropDuplicates(["digest"]).withColumn("node", F.xxhash64("digest")), "jaccard-large")
-    near, labels = None, None
-    done = sets.limit(0).select("digest")
+    rows = sets.select(F.col("root").alias("region"), "digest", "node", "hashes", F.array().cast(NEAR).alias("near"), F.lit(False).alias("done"))
+    links, leaves, level = None, None, 0
     while True:
-        waiting = sets.join(done, "digest", "left_anti")
-        if labels is not None:
-            roots = labels.select("digest", F.col("component").alias("own"))
-            other = roots.select(F.col("digest").alias("pivot"), F.col("own").alias("theirs"))
-            told = near.join(roots, "digest").join(other, "pivot").groupBy("digest").agg(F.max("linked").alias("ball"), F.min(F.col("own") == F.col("theirs")).alias("alone"))
-            waiting = waiting.join(told.where("ball and alone"), "digest", "left_anti")
-        rank = F.row_number().over(Window.partitionBy("root").orderBy("digest"))
-        chosen = durable(waiting.withColumn("__n", rank).where(F.col("__n") <= pivots).select("root", "digest", "hashes"), "jaccard-pivots")
-        if chosen.isEmpty():
+        sizes = rows.groupBy("region").agg(F.sum(F.octet_length("hashes") / 8).alias("shingles"), F.count(F.when(~F.col("done"), 1)).alias("open"))
+        sizes = durable(sizes, "jaccard-regions")
+        fits = sizes.where(F.col("shingles") <= leaf).select("region")
+        own = rows.join(fits, "region", "left_semi").select(F.col("region").alias("root"), "digest", F.col("node").alias("rep"), "hashes")
+        leaves = durable(own, "jaccard-leaves") if leaves is None else leaves.unionByName(durable(own, "jaccard-leaves"))
+        large = rows.join(sizes.where(F.col("shingles") > leaf).select("region", "open"), "region")
+        # So many of the sets that have not been pivots, by a draw; all of them if they are few.
+        wanted = F.lit(pivots << min(level, 8))
+        drawn = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < wanted * F.lit(float(1 << 30)) / F.col("open")
+        large = durable(large, "jaccard-rows")
+        if large.isEmpty():
             break
-        packed = chosen.groupBy("root").agg(F.collect_list(F.struct("digest", "hashes")).alias("pivots"))
-
-        @tidy
-        def run(batches):
-            for batch in batches:
-                rows = []
-                for digest, raw, ps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = np.frombuffer(raw, np.uint64)
-                    for p in ps:
-                        other = np.frombuffer(p["hashes"], np.uint64)
-                        common = len(np.intersect1d(own, other, assume_unique=True))
-                        if p["digest"] != digest and m.linked(common, len(own), len(other), 2):
-                            rows.append((digest, p["digest"], bool(m.linked(common, len(own), len(other)))))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["digest", "pivot", "linked"])
-
-        # A pivot's own row stays in: it is in its own ball.
-        found = sets.join(packed, "root").select("digest", "hashes", "pivots").mapInArrow(run, "digest binary, pivot binary, linked boolean")
-        near = durable(found if near is None else near.unionByName(found), "jaccard-near")
-        done = durable(done.unionByName(chosen.select("digest")), "jaccard-done")
-        links = near.where("linked").select(F.xxhash64("digest").alias("a"), F.xxhash64("pivot").alias("b"))
-        labels = durable(sets.select("digest", "node", "rep").join(components(links), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("component")), "jaccard-labels")
-    if labels is None:
-        return sets.select("digest", F.col("rep").alias("component_id"))
+        found = durable(_to_pivots(large.drop("open"), large.where(~F.col("done") & drawn).drop("open"), m), "jaccard-found")
+        discard(large)
+        near = found.select("region", "node", "done", F.explode("near").alias("p")).select("region", "node", F.col("p.pivot").alias("pivot"), F.col("p.linked").alias("linked"))
+        fresh = durable(near.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-links")
+        links = fresh if links is None else links.unionByName(fresh)
+        labels = durable(components(links).withColumnRenamed("root", "own"), "jaccard-labels")
+        other = labels.select(F.col("node").alias("pivot"), F.col("own").alias("theirs"))
+        told = near.join(labels, "node").join(other, "pivot").groupBy("region", "node").agg(F.max("linked").alias("ball"), F.min(F.col("own") == F.col("theirs")).alias("alone"))
+        settled = told.where("ball and alone").select("region", "node")
+        waiting = durable(found.where("not done").select("region", "node", "home").join(settled, ["region", "node"], "left_anti"), "jaccard-waiting")
+        apart = found.groupBy("region").agg(F.sum("n_windows").alias("w"), F.count(F.lit(1)).alias("n"), F.max("n_windows").alias("most"))
+        apart = apart.where((F.col("w") <= 2 * F.col("n")) & (F.col("most") <= WINDOWS)).select("region")
+        kept = ["digest", "node", "hashes", "near", "done"]
+        whole = found.join(waiting.select("region").distinct(), "region", "left_semi").join(apart, "region", "left_anti").select("region", *kept)
+        inside = lambda pivot: F.xxhash64("region", pivot)
+        homes = waiting.join(apart, "region", "left_semi").select(inside("home").alias("region")).distinct()
+        parted = found.join(apart, "region", "left_semi").select("region", F.explode("windows").alias("pivot"), *kept).select(inside("pivot").alias("region"), *kept).join(homes, "region", "left_semi")
+        rows = durable(whole.unionByName(parted), "jaccard-rows")
+        for step in (found, waiting, labels, sizes):
+            discard(step)
+        level += 1
+    # A leaf's components, each as edges from its sets to the smallest node among them.
+    within = _settle_small(leaves, m).select(F.xxhash64("digest").alias("a"), F.col("component_id").alias("b"))
+    edges = within if links is None else within.unionByName(links)
+    labels = durable(sets.select("digest", "node", "rep").join(components(edges), "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("component")), "jaccard-labels")
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
     return labels.join(least, "component").select("digest", "component_id")
 
@@ -682,7 +772,7 @@ def jaccard_components(docs: DataFrame, width: int, top: int, bottom: int = 100,
     large = F.col("shingles") > group_shingles
     labels = _settle_small(_candidate_sets(docs, member.join(sizes.where(~large), "root", "left_semi"), m), m)
     if not sizes.where(large).isEmpty():
-        labels = labels.unionByName(_settle_large(_candidate_sets(docs, member.join(sizes.where(large), "root", "left_semi"), m), m, pivots))
+        labels = labels.unionByName(_settle_large(_candidate_sets(docs, member.join(sizes.where(large), "root", "left_semi"), m), m, group_shingles, pivots))
     # Written first, so that the join below has a plain exchange on either side, which Spark can split where a set has very many copies.
     label = durable(points.join(labels, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id")), "jaccard-labelled")
     for step in (groups, every, big, finer, member, sizes):  # nothing reads them any more

@@ -412,6 +412,58 @@ def test_jaccard_ids_with_several_texts(spark, shingles):
     assert sorted(map(tuple, got)) == sorted((ids[i], n, least[c]) for i, (n, c) in own.items())
 
 
+def test_voronoi_regions_are_exact(spark, monkeypatch):
+    """One group of many families: regions are parted by windows, joined again by themselves, and miss no link."""
+    import random
+
+    rng = random.Random(31)
+    m = jaccard.Measure(1, 80, 100)
+    sets, n = [], 0
+    for family in range(30):
+        base = {family * 1000 + rng.randrange(300) for _ in range(rng.randint(5, 80))}
+        for _ in range(rng.randint(1, 25)):
+            sets.append((n, np.array(sorted(base), np.uint64)))
+            n += 1
+            base = (base - set(rng.sample(sorted(base), min(len(base) - 1, rng.randint(0, 3))))) | {family * 1000 + rng.randrange(300) for _ in range(rng.randint(0, 3))}
+    own = {}
+    for i, s in sets:  # equal sets are one point
+        own.setdefault(s.tobytes(), i)
+    points = [(i, np.frombuffer(s, np.uint64)) for s, i in own.items()]
+    parent = {i: i for i, _ in points}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, x in points:
+        for b, y in points:
+            if a < b and m.linked(len(np.intersect1d(x, y)), len(x), len(y)):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    frame = spark.createDataFrame([(1, hashlib.md5(s.tobytes()).digest(), i, s.tobytes()) for i, s in points], "root bigint, digest binary, rep bigint, hashes binary")
+    seen = []
+    plain = jaccard._to_pivots
+
+    def watched(rows, chosen, m):
+        out = plain(rows, chosen, m)
+        seen.append((rows.select("region").distinct().count(), out.where("n_windows = 1").count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_to_pivots", watched)
+    got = {r["digest"]: r["component_id"] for r in jaccard._settle_large(frame, m, 900, 12).collect()}
+    assert {i: got[hashlib.md5(s.tobytes()).digest()] for i, s in points} == {i: find(i) for i, _ in points}
+    assert seen[0][0] == 1 and max(x for x, _ in seen) > 1 and sum(x for _, x in seen) > len(points) / 2, seen
+
+
+def test_shingles_of_many_words(spark):
+    words = [f"w{k}" for k in range(40)]
+    turned = words[:]
+    turned[1], turned[17] = turned[17], turned[1]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs(spark, [(1, " ".join(words)), (2, " ".join(turned))]), 40, 100).collect()}
+    assert got == {1: 1, 2: 2}
+
+
 # --- 7 ---
 
 
