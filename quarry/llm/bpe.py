@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,8 +39,8 @@ from quarry.llm.common import discard, durable, extended, replacing, slices, sma
 TABLE_WORDS, WORD_BYTES = 200_000, 64
 #: Words that a task counts before it hands the counts on.
 COUNTED = 200_000
-#: Bytes of text whose words are held at once.
-RUN_BYTES = 2 << 20
+#: Bytes of text (or one longer text) whose words are held at once, each distinct one once; and rows of such a run.
+RUN_BYTES, RUN_ROWS = 8 << 20, 1 << 14
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -186,24 +187,27 @@ class Codec:
 
     def encode_all(self, texts: list[str], table: dict[str, bytes] | None = None) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers. Words of the table are looked up, the others replayed together."""
-        table = table or {}
         if sum(map(len, texts)) <= RUN_BYTES:
-            cut = [self.cut.findall(t) for t in texts]
-            known = self._known(set().union(*cut), table)
-            for words in cut:
-                yield b"".join([known[w] for w in words])
+            number: dict[str, int] = {}  # texts become the numbers of their words: a word is held once, however often it stands there
+            coded = [array("I", [number.setdefault(w, len(number)) for w in self.cut.findall(t)]) for t in texts]
+            known = self._known(list(number), table or {})
+            for codes in coded:
+                yield b"".join([known[c] for c in codes])
             return
         for text in texts:
             parts = []
             for words in self.words(text):
-                known = self._known(set(words), table)
-                parts.append(b"".join([known[w] for w in words]))
+                number = {w: n for n, w in enumerate(dict.fromkeys(words))}
+                known = self._known(list(number), table or {})
+                parts.append(b"".join([known[number[w]] for w in words]))
             yield b"".join(parts)
 
-    def _known(self, words: set[str], table: dict[str, bytes]) -> dict[str, bytes]:
-        rest = [w for w in words if w not in table]
-        known = dict(zip(rest, self.ids_of(rest), strict=True))
-        known.update((w, table[w]) for w in words if w in table)
+    def _known(self, words: list[str], table: dict[str, bytes]) -> list[bytes]:
+        """The ids of each of these words."""
+        known = [table.get(w) for w in words]
+        rest = [n for n, ids in enumerate(known) if ids is None]
+        for n, ids in zip(rest, self.ids_of([words[n] for n in rest]), strict=True):
+            known[n] = ids
         return known
 
     def decode(self, ids: bytes) -> bytes:
@@ -298,7 +302,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     @tidy
     def run(batches):
         coder, table = encoder()
-        for batch in slices(batches, at, RUN_BYTES):
+        for batch in slices(batches, at, RUN_BYTES, RUN_ROWS):
             yield _with_ids(batch, list(coder.encode_all([t or "" for t in batch.column(at).to_pylist()], table)))
 
     return rest.mapInArrow(run, schema)
@@ -341,7 +345,7 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     @tidy
     def run(batches):
         coder, table = encoder()
-        for batch in slices(batches, 1, RUN_BYTES):
+        for batch in slices(batches, 1, RUN_BYTES, RUN_ROWS):
             out = []
             for ids in coder.encode_all([t or "" for t in batch.column(1).to_pylist()], table):
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
