@@ -92,11 +92,11 @@ class MergeReplay:
         word = np.flatnonzero(np.append(True, owner[places[1:]] != owner[places[:-1]]))
         return before_it == np.repeat(before_it[word], np.diff(np.append(word, len(places))))
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (little-endian unsigned 32-bit integers)."""
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
         whole = [self.ranks.get(w, -1) for w in words]
         split = [n for n, (w, r) in enumerate(zip(words, whole, strict=True)) if r < 0 and w]
-        out = [np.array([r] if r >= 0 else [], "<u4") for r in whole]
+        out = [r.to_bytes(4, "little") if r >= 0 else b"" for r in whole]
         if not split:
             return out
         # The words to split, laid out one after the other; the last place stands for no neighbour.
@@ -158,9 +158,9 @@ class MergeReplay:
             pending[touched] = self.merge_of(ids[touched], ids[after[touched]])
             file(touched)
         kept = np.flatnonzero(alive)
-        flat = ids[kept].astype("<u4")
-        for n, part in zip(split, np.split(flat, np.cumsum(np.bincount(owner[kept], minlength=len(split)))[:-1]), strict=True):
-            out[n] = part
+        raw, last = ids[kept].astype("<u4").tobytes(), np.cumsum(np.bincount(owner[kept], minlength=len(split))) * 4
+        for n, a, b in zip(split, [0, *last[:-1].tolist()], last.tolist(), strict=True):
+            out[n] = raw[a:b]
         return out
 
 
@@ -183,7 +183,7 @@ class Codec:
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of each word, from one replay over all of them."""
-        return [c.tobytes() for c in self.replay.encode_words([w.encode() for w in words])]
+        return self.replay.encode_words([w.encode() for w in words])
 
     def encode_all(self, texts: list[str], table: dict[str, bytes] | None = None) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers. Words of the table are looked up, the others replayed together."""

@@ -254,7 +254,7 @@ def test_merge_replay_orders_by_rank():
     random.seed(5)
     words = ["".join(random.choice("abc") for _ in range(random.randint(1, 40))) for _ in range(3000)]
     got = bpe.MergeReplay(ranks).encode_words([w.encode() for w in words])
-    assert [g.tolist() for g in got] == [enc.encode_ordinary(w) for w in words]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc.encode_ordinary(w) for w in words]
 
 
 def test_words_of_the_corpus(spark, monkeypatch):
