@@ -116,6 +116,7 @@ def _excesses(texts: DataFrame, model: Model) -> list[tuple[int, int, int]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([excess(t, *kinds) for t in data], pa.int64()), pa.array([len(t) for t in data], pa.int64())], ["id", "y", "more", "n"])
 
     rows = texts.select("__id", "__y", "__text").mapInArrow(run, "id bigint, y int, more bigint, n bigint").collect()
+    sent.destroy()
     return [(r["y"], r["more"], r["n"]) for r in sorted(rows)]
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, durable, extended, replacing
+from quarry.llm.common import discard, durable, extended, replacing, small_batches
 
 WIDTH = 25  # bytes of a key: digest 16, null mark 1, id 8
 RANGE_BYTES = 256 << 20
@@ -124,11 +124,13 @@ def find_splitters(keys: DataFrame, weights: list[int], total: int, tolerance: i
     return [found[i] for i in range(len(weights))]
 
 
-def shard_by_bytes(df: DataFrame, shards: int, tolerance: int = 0, range_bytes: int = RANGE_BYTES, text: str = "text", ids: str = "doc_id") -> DataFrame:
-    """df with size, text_crc32, law, shard, slot and grown_shard (null: that is for the law `key`)."""
+def shard_by_bytes(df: DataFrame, shards: int, tolerance: int = 0, range_bytes: int = RANGE_BYTES, text: str = "text", ids: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """df (or just its columns in carry) with size, text_crc32, law, shard, slot and grown_shard (null: that is for the law `key`)."""
+    small_batches(df.sparkSession)
     rest = replacing(df, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"])
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 8
-    rows = rest.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("__digest"), F.col(ids).cast("bigint").alias("__id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"), *rest.columns)
+    rows = rest.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("__digest"), F.col(ids).cast("bigint").alias("__id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"), *(rest.columns if carry is None else carry))
+    carried = rows.columns[4:]
     keys = durable(rows.select("__digest", "__id", "size"), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     cuts = max(1, min(MAX_RANGES // shards, -(-total // (shards * range_bytes))))
@@ -151,7 +153,7 @@ def shard_by_bytes(df: DataFrame, shards: int, tolerance: int = 0, range_bytes:
     placed = rows.select("__digest", "__id", *names).mapInArrow(place, schema)
     order = Window.partitionBy("__range").orderBy("__digest", F.col("__id").asc_nulls_first())
     slot = F.col("__first") + F.row_number().over(order) - 1
-    return placed.select(*rest.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*carried, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int, **options) -> None:
