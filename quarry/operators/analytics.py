@@ -101,8 +101,8 @@ def band(value: Column, edges: list[tuple[float, str]], above: str) -> Column:
 def restricted(rows: DataFrame, views: DataFrame, user: str, on: str) -> DataFrame:
     """The rows that a user's views allow; a user without any view sees all."""
     own = views.where(F.col("user") == user).select(on).distinct()
-    none = own.agg((F.count(F.lit(1)) == 0).alias("__none"))
-    return rows.join(own.withColumn("__seen", F.lit(True)), on, "left").join(none).where("__seen or __none").drop("__seen", "__none")
+    none = own.agg(F.count(F.lit(1)) == 0).scalar()
+    return rows.join(own.withColumn("__seen", F.lit(True)), on, "left").where(F.col("__seen") | none).drop("__seen")
 
 
 def reconcile(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

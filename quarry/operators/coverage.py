@@ -74,9 +74,12 @@ def recursive_counts(tests: DataFrame, path: str = "folder_path") -> DataFrame:
 
 
 def suites(folders: DataFrame, suite_map: DataFrame) -> DataFrame:
-    """folder_path, suite: the suite with the longest prefix that fits."""
-    hit = folders.join(suite_map, F.startswith(F.col("folder_path"), F.col("folder_prefix")), "left")
-    return hit.groupBy("folder_path").agg(F.max_by("suite", F.struct(F.length("folder_prefix"), "suite")).alias("suite"))
+    """folder_path, suite: the suite with the longest prefix that fits. Paths are cut to the lengths that prefixes have (looked up first) and met with them."""
+    lengths = [r[0] for r in suite_map.select(F.length("folder_prefix")).distinct().collect()]
+    cuts = F.array_compact(F.array(*[F.when(F.length("folder_path") >= n, F.substring("folder_path", 1, n)) for n in lengths])).cast("array<string>")
+    hit = folders.select("folder_path", F.explode(cuts).alias("folder_prefix")).join(suite_map, "folder_prefix")
+    best = hit.groupBy("folder_path").agg(F.max_by("suite", F.struct(F.length("folder_prefix"), "suite")).alias("suite"))
+    return folders.select("folder_path").distinct().join(best, "folder_path", "left")
 
 
 def declared_gaps(folders: DataFrame, tests: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def json_rows(spark, d):
 def page(spark, d):
     s = table(spark, d, "supplier")
     total = s.agg(F.count(F.lit(1)).alias("total"))
-    return s.orderBy(F.col("s_acctbal").desc(), "s_suppkey").offset(10).limit(20).join(total).select("s_suppkey", "s_name", "total")
+    return s.orderBy(F.col("s_acctbal").desc(), "s_suppkey").offset(10).limit(20).select("s_suppkey", "s_name", total.scalar().alias("total"))
 
 
 @query("""SELECT l_suppkey, round(stddev_samp(l_quantity), 6) AS spread FROM lineitem GROUP BY 1 ORDER BY round(stddev_samp(l_quantity), 6) DESC, l_suppkey LIMIT 6""")
