@@ -24,15 +24,14 @@ def shortlist(tickets: DataFrame, tests: DataFrame, least: tuple[int, int] = (1,
     held = tests.select("test_id", tokens("summary").alias("t")).select("test_id", F.size("t").alias("b"), F.explode("t").alias("token"))
     df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
-    right = held.join(df, "token").groupBy("test_id", "b").agg(ordered.alias("w"))
-    right = right.select("test_id", "b", F.col("w").alias("test_words"), F.explode(F.slice("w", 1, kept(F.col("b")).cast("int"))).alias("token"))
+    right = held.join(df, "token").groupBy("test_id", "b").agg(ordered.alias("y"))
     told = tickets.select("ticket_id", tokens("description").alias("t")).select("ticket_id", F.size("t").alias("a"), F.explode("t").alias("token"))
     # Only words of some test can be shared; those of none stand first in the order and use up a ticket's prefix.
-    left = told.join(df, "token").groupBy("ticket_id", "a").agg(ordered.alias("w"))
-    prefix = F.greatest(kept(F.col("a")).cast("int") - (F.col("a") - F.size("w")), F.lit(0))
-    left = left.where(F.size("w") * bottom >= F.col("a") * top).select("ticket_id", "a", F.col("w").alias("ticket_words"), F.explode(F.slice("w", 1, prefix)).alias("token"))
+    left = told.join(df, "token").groupBy("ticket_id", "a").agg(ordered.alias("x")).where(F.size("x") * bottom >= F.col("a") * top)
+    prefix = F.greatest(kept(F.col("a")).cast("int") - (F.col("a") - F.size("x")), F.lit(0))
     near = (F.col("a") * bottom >= F.col("b") * top) & (F.col("b") * bottom >= F.col("a") * top)
-    pairs = left.join(right, "token").where(near).groupBy("ticket_id", "test_id", "a", "b").agg(F.first("ticket_words").alias("x"), F.first("test_words").alias("y"))
+    some = left.select("ticket_id", "a", F.explode(F.slice("x", 1, prefix)).alias("token")).join(right.select("test_id", "b", F.explode(F.slice("y", 1, kept(F.col("b")).cast("int"))).alias("token")), "token")
+    pairs = some.where(near).select("ticket_id", "a", "test_id", "b").distinct().join(left, ["ticket_id", "a"]).join(right, ["test_id", "b"])
     pairs = pairs.select("ticket_id", "test_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), (F.col("a") + F.col("b")).alias("__n"))
     return pairs.where(F.col("shared") * bottom >= (F.col("__n") - F.col("shared")) * top).select("ticket_id", "test_id", "shared", (F.col("shared") / (F.col("__n") - F.col("shared"))).alias("similarity"))
 

@@ -10,6 +10,8 @@ from quarry.functions.text import alias_key, words
 UNRESOLVED = "Unresolved — needs manual routing"
 RETIRED = "N/A (deprecated)"
 DEPRECATED = "deprecated"
+#: Characters of aliases up to which they are sent to every task; they are counted first.
+SENT = 4 << 20
 
 
 def expand_aliases(owners: DataFrame, name: str, aliases: str = "aliases") -> DataFrame:
@@ -20,9 +22,15 @@ def expand_aliases(owners: DataFrame, name: str, aliases: str = "aliases") -> Da
 
 def phrases(text: Column | str, longest: int) -> Column:
     """The distinct runs of 1 to `longest` words of a text, joined by blanks."""
-    at = lambda t, n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
-    every = F.transform(F.array(words(text)), lambda t: F.flatten(F.array(*[t if n == 1 else F.when(F.size(t) >= n, at(t, n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])))
-    return F.array_distinct(every[0])
+
+    def every(t: Column) -> Column:
+        runs = [t]
+        for n in range(2, longest + 1):  # the runs that are a word shorter, each with the word behind it
+            many = F.greatest(F.size(t) - n + 1, F.lit(0))
+            runs.append(F.zip_with(F.slice(runs[-1], 1, many), F.slice(t, n, many), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.array_distinct(F.concat(*runs))
+
+    return F.transform(F.array(words(text)), every)[0]
 
 
 def match_text(tickets: DataFrame, aliases: DataFrame, text: str = "description", kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -35,8 +43,10 @@ def match_text(tickets: DataFrame, aliases: DataFrame, text: str = "description"
     each, as columns <kind>_alias, <kind>_name and <kind>_team.
     """
     filed = aliases.withColumn("phrase", F.array_join(words("alias"), " ")).where("phrase <> ''")
-    longest = filed.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
-    hits = tickets.select("ticket_id", F.explode(phrases(text, longest)).alias("phrase")).join(filed, "phrase")
+    longest, chars = filed.agg(F.max(F.size(F.split("phrase", " "))), F.sum(F.length("phrase") + 64)).first()
+    if (chars or 0) <= SENT:  # else both sides move
+        filed = F.broadcast(filed)
+    hits = tickets.select("ticket_id", F.explode(phrases(text, longest or 1)).alias("phrase")).join(filed, "phrase")
     rank = F.struct((-F.length("alias")).alias("__n"), "alias", "team", "name")
     if not kinds:
         return hits.groupBy("ticket_id").agg(F.min(rank).alias("__best")).select("ticket_id", "__best.alias", "__best.name", "__best.team")
