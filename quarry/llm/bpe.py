@@ -40,7 +40,7 @@ TABLE_WORDS, WORD_BYTES = 200_000, 64
 #: Words that a task counts before it hands the counts on.
 COUNTED = 200_000
 #: Bytes of text (or one longer text) whose words are held at once, each distinct one once; and rows of such a run.
-RUN_BYTES, RUN_ROWS = 8 << 20, 1 << 14
+RUN_BYTES, RUN_ROWS = 2 << 20, 1 << 14
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
