@@ -159,5 +159,5 @@ def in_scope(path: Column | str, include: list[str], exclude: list[str]) -> Colu
 
 
 def changed_since(current: DataFrame, seen: DataFrame) -> DataFrame:
-    """The (path, version) rows that a refresh has to read: those not seen in this version."""
+    """The (path, version) rows that a refresh has to read: those not seen in this version. Rows that share a path and version are seen together."""
     return current.join(seen, ["path", "version"], "left_anti")

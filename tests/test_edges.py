@@ -297,3 +297,17 @@ def test_lines_without_an_order(spark, tmp_path):
     spark.createDataFrame([(1, "1-URGENT"), (4, "5-LOW"), (8, None), (9, "5-LOW")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["skill"]: r["n"] for r in registry.queries()["none_label"](spark, str(tmp_path)).collect()}
     assert got == {"1-URGENT": 2, "5-LOW": 1, "[None]": 3}
+
+
+def test_pages_that_share_a_url_are_refreshed_each(spark, tmp_path):
+    import duckdb
+
+    from oracle import same
+    from quarry.plans import registry
+
+    rows = [(10, "a"), (11, "a"), (20, "a"), (30, "b"), (40, "b"), (50, "c"), (70, "c"), (80, "c"), (-10, "d"), (-20, "d"), (-3, "d"), (0, "e"), (12, None), (90, None), (100, None), (None, "f"), (None, None), (13, "g"), (13, "g"), (13, "h"), (110, "g"), (110, "h")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    left, right = same(registry.queries()["changed_since"](spark, str(tmp_path)), con, registry.oracle_sql()["changed_since"])
+    assert left == right and len(left) == 12
